@@ -15,5 +15,30 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op8_simhash": op8_simhash}
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_ratio import fit, judge
+
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, fit(docs, table(spark, sf_dir, "labels")), threshold=-0.1).drop("score")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .labelled import remainder
+    from .toxicity import fit, score
+
+    docs, held = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 3) == 1
+    model = fit(docs, table(spark, sf_dir, "labels"), ~held)
+    return score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .factorisation import fit, score
+    from .labelled import remainder
+
+    docs, held = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 5) == 0
+    machine = fit(docs, table(spark, sf_dir, "labels"), ~held)
+    return score(docs, machine).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {"op4_quality_rules": op4_quality_rules, "op7_toxicity": op7_toxicity, "op8_simhash": op8_simhash, "op10_quality_classifier": op10_quality_classifier}
 ORACLE_SQL: dict[str, str] = {}
