@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import fresh_path, table
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,15 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .huffman import read_tokens, write_tokens
+    from .tokens import default_path
+
+    path = fresh_path(spark, "token-files")
+    write_tokens(table(spark, sf_dir, "documents"), path, default_path(), end_id=0)
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .factorisation import fit, score
     from .labelled import remainder
@@ -40,5 +49,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, machine).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {"op4_quality_rules": op4_quality_rules, "op7_toxicity": op7_toxicity, "op8_simhash": op8_simhash, "op10_quality_classifier": op10_quality_classifier}
+QUERIES = {"op4_quality_rules": op4_quality_rules, "op7_toxicity": op7_toxicity, "op8_simhash": op8_simhash, "op9_token_files": op9_token_files, "op10_quality_classifier": op10_quality_classifier}
 ORACLE_SQL: dict[str, str] = {}
