@@ -22,6 +22,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, fit(docs, table(spark, sf_dir, "labels")), threshold=-0.1).drop("score")
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .editprint import compared_with_next
+
+    return compared_with_next(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
     from .tokens import default_path
@@ -56,5 +62,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, machine).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {"op4_quality_rules": op4_quality_rules, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op8_simhash": op8_simhash, "op9_token_files": op9_token_files, "op10_quality_classifier": op10_quality_classifier}
+QUERIES = {"op4_quality_rules": op4_quality_rules, "op5_fingerprints": op5_fingerprints, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op8_simhash": op8_simhash, "op9_token_files": op9_token_files, "op10_quality_classifier": op10_quality_classifier}
 ORACLE_SQL: dict[str, str] = {}
