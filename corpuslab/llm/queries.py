@@ -15,6 +15,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import remove_repeated
 
@@ -68,5 +74,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, machine).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {"op2_suffix_dedup": op2_suffix_dedup, "op4_quality_rules": op4_quality_rules, "op5_fingerprints": op5_fingerprints, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op8_simhash": op8_simhash, "op9_token_files": op9_token_files, "op10_quality_classifier": op10_quality_classifier}
+QUERIES = {"op1_html_text": op1_html_text, "op2_suffix_dedup": op2_suffix_dedup, "op4_quality_rules": op4_quality_rules, "op5_fingerprints": op5_fingerprints, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op8_simhash": op8_simhash, "op9_token_files": op9_token_files, "op10_quality_classifier": op10_quality_classifier}
 ORACLE_SQL: dict[str, str] = {}
