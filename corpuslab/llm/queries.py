@@ -27,6 +27,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated(table(spark, sf_dir, "documents"), length=100).drop("digest", "kept")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import default_path, round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), default_path())
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_ratio import fit, judge
 
@@ -74,5 +80,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, machine).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_html_text": op1_html_text, "op2_suffix_dedup": op2_suffix_dedup, "op4_quality_rules": op4_quality_rules, "op5_fingerprints": op5_fingerprints, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op8_simhash": op8_simhash, "op9_token_files": op9_token_files, "op10_quality_classifier": op10_quality_classifier}
+QUERIES = {"op1_html_text": op1_html_text, "op2_suffix_dedup": op2_suffix_dedup, "op3_sentencepiece": op3_sentencepiece, "op4_quality_rules": op4_quality_rules, "op5_fingerprints": op5_fingerprints, "op6_packing": op6_packing, "op7_toxicity": op7_toxicity, "op8_simhash": op8_simhash, "op9_token_files": op9_token_files, "op10_quality_classifier": op10_quality_classifier}
 ORACLE_SQL: dict[str, str] = {}
