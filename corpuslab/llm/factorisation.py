@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .labelled import sample
 from .textbatch import Hasher, blocks, lower_latin, mix
@@ -127,13 +128,27 @@ def fit(docs: DataFrame, labels: DataFrame, rows: Column, most: int = 5_000) ->
     )
 
 
-def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """(doc_id, score) of every whole text; a null text counts as empty and is scored like one. Repeated rows stay."""
+def _scored(docs: DataFrame, machine: Machine, keep_text: bool) -> DataFrame:
+    """docs (without text unless kept) with _score."""
+    ordered = docs.select(*[c for c in docs.columns if c != "text"], "text")
+    kept = len(ordered.columns) - (not keep_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in blocks(batch.column(1)):
+            for lo, hi, data, offsets in blocks(batch.column(batch.num_columns - 1)):
                 logit = machine.logits(*inputs(data, offsets))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))))], ["doc_id", "score"])
+                score = pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:kept]), score], [*batch.schema.names[:kept], "_score"])
+
+    return ordered.mapInArrow(run, StructType([*ordered.schema.fields[:kept], StructField("_score", DoubleType())]))
+
+
+def score(docs: DataFrame, machine: Machine) -> DataFrame:
+    """(doc_id, score) of every whole text; a null text counts as empty and is scored like one. Repeated rows stay."""
+    found = _scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), machine, False)
+    return found.withColumnRenamed("_score", "score")
+
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+def of_quality(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs whose score reaches the threshold, with all their columns."""
+    return _scored(docs, machine, True).filter(F.col("_score") >= threshold).select(docs.columns)

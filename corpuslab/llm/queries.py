@@ -11,7 +11,7 @@ from ._shared import fresh_path, table
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
-    found = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, seed=42, distance=3)
+    found = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, seeds=(42,), distance=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

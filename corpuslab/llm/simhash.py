@@ -15,6 +15,7 @@ list and no link between different fingerprints is lost.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -33,14 +34,13 @@ CELL_MOST = 1 << 15
 SHORT_RUN = 32
 
 
-def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: int) -> np.ndarray:
-    """A fingerprint for each document of a block."""
+def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int, seeds: tuple[int, ...]) -> list[np.ndarray]:
+    """For each seed the fingerprints of the documents of a block."""
     data = lower_ascii(data)
     starts, ends, of = words(data, offsets)
     n_docs = len(offsets) - 1
-    out = np.zeros(n_docs, _U)
     if not len(starts):
-        return out
+        return [np.zeros(n_docs, _U) for _ in seeds]
     # words of a document joined by single spaces: each word and the byte after it
     lengths = ends - starts + 1
     new_ends = np.cumsum(lengths) - 1
@@ -54,33 +54,38 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: i
     doc = np.repeat(np.arange(n_docs), n_shingles)
     first = of[doc] + np.arange(s_of[-1]) - s_of[doc]
     last = np.minimum(first + shingle, of[doc + 1]) - 1
-    h = xxh64(joined, new_starts[first], new_ends[last], seed)
-    # eight byte-wide counters a word; no run is longer than 255
+    # byte-wide counters, eight a word, over runs of at most 255
     some = np.flatnonzero(n_shingles)
     pieces = -(-n_shingles[some] // 255)
     p_of = np.concatenate(([0], np.cumsum(pieces)))
     piece_doc = np.repeat(np.arange(len(some)), pieces)
     cuts = s_of[some][piece_doc] + 255 * (np.arange(p_of[-1]) - p_of[piece_doc])
-    for bit in range(8):
-        plane = (h >> _U(bit)) & _U(0x0101010101010101)
-        counts = np.add.reduceat(plane, cuts).view(np.uint8).reshape(-1, 8).astype(np.int64)
-        votes = np.add.reduceat(counts, p_of[:-1], axis=0)
-        on = (2 * votes > n_shingles[some][:, None]).astype(_U)
-        for byte in range(8):
-            out[some] |= on[:, byte] << _U(8 * byte + bit)
-    return out
-
-
-def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp long, n_words) of whole texts; null texts count as empty, texts without words have fingerprint 0."""
+    found = []
+    for seed in seeds:
+        h = xxh64(joined, new_starts[first], new_ends[last], seed)
+        out = np.zeros(n_docs, _U)
+        for bit in range(8):
+            plane = (h >> _U(bit)) & _U(0x0101010101010101)
+            counts = np.add.reduceat(plane, cuts).view(np.uint8).reshape(-1, 8).astype(np.int64)
+            votes = np.add.reduceat(counts, p_of[:-1], axis=0)
+            on = (2 * votes > n_shingles[some][:, None]).astype(_U)
+            for byte in range(8):
+                out[some] |= on[:, byte] << _U(8 * byte + bit)
+        found.append(out)
+    return found
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (42,)) -> DataFrame:
+    """(doc_id, fp0, fp1, ...) of whole texts, a fingerprint a seed; null texts count as empty, texts without words have fingerprint 0."""
+    names = [f"fp{k}" for k in range(len(seeds))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprints_of(data, offsets, shingle, seed) for _, _, data, offsets in blocks(batch.column(1))]
-            fp = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+            for lo, hi, data, offsets in blocks(batch.column(1)):
+                found = fingerprints_of(data, offsets, shingle, seeds)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(f.view(np.int64)) for f in found)], ["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def embedding(fp: np.ndarray) -> np.ndarray:
@@ -191,16 +196,35 @@ def links(classes: DataFrame, distance: int = 3) -> DataFrame:
     return spread.mapInArrow(join, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, distance: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs.
+def near_duplicates(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (42,), distance: int = 3) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of docs; fp is the first seed's fingerprint.
 
-    Two documents are linked if their fingerprints differ in at most `distance` bits; component_id is the smallest
-    doc_id reachable. Null and blank texts share fingerprint 0 and are linked like any other. Repeated rows stay. A row
-    without doc_id keeps its fingerprint and gets the component of documents that share it (null if there is none).
+    Two documents are linked if their fingerprints of any seed differ in at most `distance` bits; component_id is the
+    smallest doc_id reachable. More seeds find more of the pairs that are similar but not almost equal. Null and blank
+    texts share fingerprint 0 and are linked like any other. Repeated rows stay. A row without doc_id keeps its
+    fingerprint and gets the component of documents that share all its fingerprints (null if there is none).
     """
-    found = durable(fingerprints(docs, shingle, seed), "fingerprints")
-    classes = found.groupBy("fp").agg(F.min("doc_id").alias("node")).filter("node is not null")
-    parts = durable(links(classes, distance), "links")
-    groups = connected_components(parts)
-    classes = classes.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return found.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
+    found = durable(fingerprints(docs, shingle, seeds), "fingerprints")
+    names = found.columns[1:]
+    classes = found.groupBy(*names).agg(F.min("doc_id").alias("node")).filter("node is not null")
+    edges = []
+    for name in names:
+        own = classes.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("node"))
+        edges.append(durable(links(own, distance), "links"))
+        if len(names) > 1:  # classes that share this fingerprint and differ in another
+            same = classes.select(F.col(name).alias("fp"), F.col("node").alias("u")).join(own, "fp").filter("u <> node")
+            edges.append(durable(same.select("u", F.col("node").alias("v")), "same"))
+    groups = connected_components(reduce(DataFrame.union, edges))
+    classes = classes.join(groups, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
+    return found.join(classes, names, "left").select("doc_id", F.col(names[0]).alias("fp"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, seeds: tuple[int, ...] = tuple(range(42, 50)), distance: int = 3) -> DataFrame:
+    """docs without near duplicates: of each component the row with the smallest doc_id stays, one row if it is repeated. Rows without doc_id stay."""
+    found = near_duplicates(docs, shingle, seeds, distance)
+    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti")
+    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    if repeated.isEmpty():
+        return kept
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))

@@ -193,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: Column, most: int = 20_000) ->
     prior = 0.1 * (yes + no)
     chances = (no + prior) / max(1.0, n_no + 0.1 * (n_yes + n_no))
     model = Model(h[order], value[order], rate_of(value, chances, GAP))
-    got = _excesses(texts, model).select("label", "excess").toPandas()
+    got = _excesses(texts, model).select("label", F.col("_excess").alias("excess")).toPandas()
     texts.unpersist()
     x, y = got["excess"].to_numpy(float), got["label"].to_numpy(float)
     some = x > CLEAN
@@ -218,31 +218,39 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> tuple[float,
     return (float(a), float(b)) if a > 0 else (0.0, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))))
 
 
-def _excesses(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with its columns besides text, and excess, n_tokens and passages (byte ranges and excesses of significant segments)."""
-    others = [c for c in docs.columns if c != "text"]
-    schema = docs.select(*others).schema
+def _excesses(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
+    """docs (without text unless kept) with _excess and _passages, the byte ranges and excesses of significant segments."""
+    ordered = docs.select(*[c for c in docs.columns if c != "text"], "text")
+    kept = len(ordered.columns) - (not keep_text)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("excess", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve = model.sieve()
         for batch in batches:
-            text = batch.column(len(others))
             excess = np.full(len(batch), CLEAN)
             spans: list[list] = [[] for _ in range(len(batch))]
-            for lo, _, data, offsets in blocks(text):
+            for lo, _, data, offsets in blocks(batch.column(batch.num_columns - 1)):
                 for d, _, found in passages(model, sieve, data, offsets):
                     excess[lo + d] = max(CLEAN + 1, excess_of(found))
                     spans[lo + d] = [{"start": a, "stop": b, "excess": x} for a, b, x in found if x > 0]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(excess), pa.array(spans, kind)], [*others, "excess", "passages"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(excess), pa.array(spans, kind)], [*batch.schema.names[:kept], "_excess", "_passages"])
 
-    schema = StructType([*schema.fields, *StructType.fromDDL("excess double, passages array<struct<start:long,stop:long,excess:double>>").fields])
-    return docs.select(*others, "text").mapInArrow(run, schema)
+    more = StructType.fromDDL("_excess double, _passages array<struct<start:long,stop:long,excess:double>>")
+    return ordered.mapInArrow(run, StructType([*ordered.schema.fields[:kept], *more.fields]))
+
+
+def _score(model: Model) -> Column:
+    raw = F.lit(model.slope) * F.least(F.lit(20.0), F.greatest(F.lit(-10.0), F.col("_excess"))) + F.lit(model.shift)
+    curve = 1 / (1 + F.exp(-F.least(F.lit(30.0), F.greatest(F.lit(-30.0), raw))))
+    return F.when(F.col("_excess") > CLEAN, curve).otherwise(model.clean)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, excess, passages) of every whole text; null and blank texts have the score of a text without a toxic token. Repeated rows stay."""
     found = _excesses(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model)
-    raw = F.lit(model.slope) * F.least(F.lit(20.0), F.greatest(F.lit(-10.0), F.col("excess"))) + F.lit(model.shift)
-    curve = 1 / (1 + F.exp(-F.least(F.lit(30.0), F.greatest(F.lit(-30.0), raw))))
-    return found.select("doc_id", F.when(F.col("excess") > CLEAN, curve).otherwise(model.clean).alias("score"), "excess", "passages")
+    return found.select("doc_id", _score(model).alias("score"), F.col("_excess").alias("excess"), F.col("_passages").alias("passages"))
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs whose score is below the threshold, with all their columns."""
+    return _excesses(docs, model, keep_text=True).filter(_score(model) < threshold).select(docs.columns)
