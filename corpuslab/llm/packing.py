@@ -141,7 +141,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0) ->
             new = np.append(bucket is None or buckets[0] != bucket, buckets[1:] != buckets[:-1])
             run_of = np.cumsum(new)
             heads = np.flatnonzero(new)
-            firsts = np.append(at, [base[b] for b in buckets[heads].tolist()])
+            firsts = np.append(at, np.array([base[b] for b in buckets[heads].tolist()], np.int64))
             skipped = np.append(0, offsets[:-1][heads])
             begin = firsts[run_of] + offsets[:-1] - skipped[run_of]
             bucket, at = buckets[-1], int(begin[-1] + n[-1])
