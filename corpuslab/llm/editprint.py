@@ -25,7 +25,7 @@ from .textbatch import blocks, mix
 _U = np.uint64
 PERIOD_BITS = 12
 SAMPLES = 64
-BLOCK = 8 << 20
+BLOCK = 3 << 20
 FEW = 48  # this many walks or fewer advance one by one
 
 
