@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ._shared import durable, fresh_path, width
 from .bwt import first_windows
-from .textbatch import blocks, mix
+from .textbatch import Hasher, blocks, mix
 
 _U = np.uint64
 GRAM = 24
@@ -82,20 +82,44 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     return doc[new], at[new] - offsets[doc[new]], count, h[anchor[new]]
 
 
+def _again_in_block(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Which of these byte ranges, in the order given, equal one before."""
+    _, first, place = np.unique(Hasher(data)(starts, stops), return_index=True, return_inverse=True)
+    rows = np.flatnonzero(first[place] != np.arange(len(starts)))
+    raw = data.tobytes()
+    like = first[place[rows]]
+    same = [raw[a:b] == raw[c:d] for a, b, c, d in zip(starts[rows].tolist(), stops[rows].tolist(), starts[like].tolist(), stops[like].tolist(), strict=True)]
+    out = np.zeros(len(starts), bool)
+    out[rows] = same
+    return out
+
+
 def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """A row for each anchor of texts in ascending order. A piece that equals an earlier one of its block is known to stand
+    earlier; it is dealt out by its document instead of its anchor, so an anchor in very many places sends a row a block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            number, twin = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, _, data, offsets in blocks(batch.column(2)):
                 doc, first, count, h = anchors(data, offsets, length, gram)
-                own = pa.array(doc + lo)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(own), batch.column(1).take(own), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))], ["anchor", "doc", "twin", "first", "n"])
+                own = doc + lo
+                ordered = np.lexsort((twin[own], number[own]))  # stable: strings of one text stay in order
+                doc, first, count, h, own = doc[ordered], first[ordered], count[ordered], h[ordered], own[ordered]
+                starts = offsets[doc] + first
+                known = _again_in_block(data, starts, starts + count + length - 1)
+                key = np.where(known, mix(number[own].view(_U) + first.astype(_U)), h).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key), pa.array(number[own]), pa.array(twin[own]), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(known)],
+                    ["anchor", "doc", "twin", "first", "n", "known"],
+                )
 
-    return texts.select("doc", "twin", "text").mapInArrow(run, "anchor long, doc long, twin int, first int, n int")
+    return texts.select("doc", "twin", "text").mapInArrow(run, "anchor long, doc long, twin int, first int, n int, known boolean")
 
 
 def _recurring(rows: DataFrame, most: int = HOT) -> DataFrame:
     """Rows whose anchor occurs again, from rows sorted by anchor; hot if more than `most` share it. Holds about `most` rows at most."""
-    schema = "anchor long, doc long, twin int, first int, n int, hot boolean"
+    schema = "anchor long, doc long, twin int, first int, n int, known boolean, hot boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -103,9 +127,13 @@ def _recurring(rows: DataFrame, most: int = HOT) -> DataFrame:
 
         def out(parts: list[pa.RecordBatch], is_hot: bool) -> Iterator[pa.RecordBatch]:
             for part in parts:
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(part), is_hot))], ["anchor", "doc", "twin", "first", "n", "hot"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(part), is_hot))], ["anchor", "doc", "twin", "first", "n", "known", "hot"])
 
         for batch in batches:
+            known = batch.column(5)
+            if pc.any(known).as_py():
+                yield from out([batch.filter(known)], False)
+                batch = batch.filter(pc.invert(known))
             if not len(batch):
                 continue
             key = batch.column(0).to_numpy()
@@ -158,17 +186,19 @@ def _pieces(texts: DataFrame, length: int) -> DataFrame:
             flat = groups.flatten()
             bounds = groups.offsets.to_numpy()
             bounds = bounds - bounds[0]
-            of_twin, anchor, first, n, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("twin", "anchor", "first", "n", "hot"))
+            of_twin, anchor, first, n, known, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("twin", "anchor", "first", "n", "known", "hot"))
             rows: list[tuple] = []
             for r in range(len(batch)):
                 raw = data_of[r].as_buffer().to_pybytes()
                 doc, twin = docs[r], twins[r]
                 lo, hi = int(bounds[r]), int(bounds[r + 1])
                 some = []
-                for t, a, f, m, is_hot in zip(*(x[lo:hi].tolist() for x in (of_twin, anchor, first, n, hot)), strict=True):
+                for t, a, f, m, is_known, is_hot in zip(*(x[lo:hi].tolist() for x in (of_twin, anchor, first, n, known, hot)), strict=True):
                     if t != twin:
                         continue
-                    if is_hot:
+                    if is_known:
+                        rows.append((a, None, doc, twin, f, m))
+                    elif is_hot:
                         some += [(None, f + k, 1) for k in range(m)]
                     else:
                         some.append((a, f, m))
@@ -204,13 +234,21 @@ def _standing_earlier(pieces: DataFrame, length: int) -> DataFrame:
 
     def judge(table: pa.Table) -> pa.RecordBatch:
         doc, twin, first, n = (table.column(c).to_numpy() for c in ("doc", "twin", "first", "n"))
-        empty = pc.is_null(table.column("piece")).to_numpy()
+        piece = table.column("piece").to_pylist()
+        empty = np.array([p is None for p in piece])
+        once: set[bytes] = set()
+        for r in np.lexsort((first, twin, doc)).tolist():  # of equal pieces the first is judged, the others stand later
+            if not empty[r]:
+                if piece[r] in once:
+                    empty[r] = True
+                else:
+                    once.add(piece[r])
         d, t, s, e = [doc[empty]], [twin[empty]], [first[empty]], [(first + n + length - 1)[empty]]
         full = np.flatnonzero(~empty)
         if len(full):
             rank = np.empty(len(full), np.int64)
             rank[np.lexsort((first[full], twin[full], doc[full]))] = np.arange(len(full))
-            flag = first_windows([p for p in table.column("piece").to_pylist() if p is not None], n[full].astype(np.int64), rank, length)
+            flag = first_windows([piece[r] for r in full.tolist()], n[full].astype(np.int64), rank, length)
             own = np.repeat(full, n[full])
             offset = np.arange(len(flag)) - np.repeat(np.cumsum(n[full]) - n[full], n[full])
             new = flag.copy()
@@ -307,7 +345,7 @@ def remove_repeated(docs: DataFrame, length: int = 100, gram: int = GRAM, hot: i
     stored = _stored(texts, parts)
     chosen = stored.filter(F.col("is_first") & (F.octet_length("text") >= length)).select("doc", "twin", "text")
     again = _recurring(_anchor_rows(chosen, length, gram).repartition(parts, "anchor").sortWithinPartitions("anchor"), hot)
-    grouped = again.groupBy("doc").agg(F.collect_list(F.struct("twin", "anchor", "first", "n", "hot")).alias("anchors"))
+    grouped = again.groupBy("doc").agg(F.collect_list(F.struct("twin", "anchor", "first", "n", "known", "hot")).alias("anchors"))
     pieces = _pieces(chosen.join(grouped, "doc").select("doc", "twin", "text", "anchors"), length)
     spans = durable(_standing_earlier(pieces.repartition(parts, "anchor").sortWithinPartitions("anchor"), length), "spans")
     spans = spans.groupBy("doc").agg(F.collect_list(F.struct("twin", "start", "stop")).alias("spans"))
