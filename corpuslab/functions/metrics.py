@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from . import text as T
 from .fixed import CHAT_ARTIFACTS, LEAKAGE_WORDS
@@ -17,7 +20,7 @@ def _ratio(a: Column, b: Column) -> Column:
 
 def token_overlap(hyp: Column, ref: Column) -> Column:
     """Tokens in common, with their multiplicities."""
-    return T.overlap(T.counted(hyp), T.counted(ref))
+    return T.common(hyp, ref)
 
 
 def token_f1(hyp: Column, ref: Column) -> Column:
@@ -90,29 +93,44 @@ def entity_preservation(hyp: Column, source: Column) -> Column:
     return F.when(F.size(found) == 0, 1.0).otherwise(kept / F.size(found))
 
 
-def _fbeta(common: Column, n: Column, m: Column, beta: float = 2.0) -> Column:
-    p, r, b = common / n, common / m, beta * beta
-    return F.when(common > 0, (1 + b) * p * r / (b * p + r)).otherwise(0.0)
+def _windows(items, n: int) -> Counter:
+    return Counter(tuple(items[k : k + n]) for k in range(len(items) - n + 1))
+
+
+def _mean_f2(hyp: str, ref: str, most: int = 6) -> float:
+    total = 0.0
+    for n in range(1, most + 1):
+        a, b = (Counter({(t,): 1}) if t and len(t) < n else _windows(t, n) for t in (hyp, ref))
+        both = sum((a & b).values())
+        if both:
+            p, r = both / sum(a.values()), both / sum(b.values())
+            total += 5 * p * r / (4 * p + r)
+    return total / most
+
+
+@F.pandas_udf(DoubleType())
+def _chrf(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+    return pd.Series([_mean_f2(a, b) for a, b in zip(hyp, ref, strict=True)])
 
 
 def fast_chrf(hyp: Column, ref: Column) -> Column:
-    """Mean F2 of character n-grams for n = 1 to 6."""
-    a, b = (F.lower(T.normalize_space(c)) for c in (hyp, ref))
-    scores = []
-    for n in range(1, 7):
-        x, y = T.char_ngrams(a, n), T.char_ngrams(b, n)
-        scores.append(F.when((F.size(x) > 0) & (F.size(y) > 0), _fbeta(T.overlap(T.counted(x), T.counted(y)), F.size(x), F.size(y))).otherwise(0.0))
-    return reduce(lambda p, q: p + q, scores) / 6
+    """Mean F2 of character n-grams for n = 1 to 6, of normalised lower-case text; a shorter text is its own n-gram."""
+    return _chrf(F.lower(T.normalize_space(hyp)), F.lower(T.normalize_space(ref)))
+
+
+@F.pandas_udf(DoubleType())
+def _mean_precision(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+    out = []
+    for a, b in zip(hyp, ref, strict=True):
+        grams = [(_windows(list(a), n), _windows(list(b), n)) for n in range(1, 5)]
+        out.append(sum(sum((x & y).values()) / sum(x.values()) for x, y in grams if x) / 4)
+    return pd.Series(out, dtype=float)
 
 
 def fast_bleu(hyp: Column, ref: Column) -> Column:
     """Mean n-gram precision for n = 1 to 4 times the length ratio up to 1, of token arrays."""
-    parts = []
-    for n in range(1, 5):
-        x = T.ngrams(hyp, n)
-        parts.append(F.when(F.size(x) > 0, T.overlap(T.counted(x), T.counted(T.ngrams(ref, n))) / F.size(x)).otherwise(0.0))
     short = F.least(F.lit(1.0), F.size(hyp) / F.greatest(F.size(ref), F.lit(1)))
-    return F.when((F.size(hyp) > 0) & (F.size(ref) > 0), reduce(lambda p, q: p + q, parts) / 4 * short).otherwise(0.0)
+    return F.when((F.size(hyp) > 0) & (F.size(ref) > 0), _mean_precision(hyp, ref) * short).otherwise(0.0)
 
 
 def severity_penalty(hyp: Column, ref: Column, source: Column, chrf: Column, f1: Column, length: Column, hyp_tokens: Column, source_tokens: Column) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from .fixed import LEAKAGE_WORDS, QUECHUA_ENDINGS, QUECHUA_SIGNAL, SPACE, SPANISH_SIGNAL, WORD
 
@@ -76,22 +80,7 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def char_ngrams(text: Column, n: int) -> Column:
-    """Windows of n code points; the whole text if it is shorter, none if it is empty."""
-    count = F.char_length(text) - (n - 1)
-    return F.when(F.char_length(text) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
-
-
-def counted(items: Column) -> Column:
-    """Map from each distinct item to its count, by one pass over the sorted items."""
-    ordered = F.array_sort(items)
-    ends = F.filter(F.transform(ordered, lambda x, i: F.when(~F.coalesce(x == F.try_element_at(ordered, i + 2), F.lit(False)), F.struct(x.alias("key"), (i + 1).alias("upto")))), lambda e: e.isNotNull())
-    return F.map_from_arrays(
-        F.transform(ends, lambda e: e["key"]),
-        F.transform(ends, lambda e, i: (e["upto"] - F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(ends, F.greatest(i, F.lit(1)))["upto"])).cast("int")),
-    )
-
-
-def overlap(a: Column, b: Column) -> Column:
-    """Sum of the smaller counts of two counted() maps."""
-    return F.aggregate(F.map_keys(a), F.lit(0), lambda acc, k: acc + F.least(F.element_at(a, k), F.coalesce(F.try_element_at(b, k), F.lit(0))))
+@F.pandas_udf(IntegerType())
+def common(a: pd.Series, b: pd.Series) -> pd.Series:
+    """How many items two arrays share, with multiplicities. Arrow batches: built-in functions need a scan of one array for each item of the other."""
+    return pd.Series([sum((Counter(x) & Counter(y)).values()) if x is not None and y is not None else 0 for x, y in zip(a, b, strict=True)], dtype="int32")

@@ -79,10 +79,10 @@ def peer_utilities(df: DataFrame, keys: list[str], most: int | None = None) -> D
     """(keys, candidate_index, utility): the mean over a candidate's peers of token F1 and token precision, 2 to 1.
 
     Peers are the candidates with another prediction, or all if there is none. `most` takes that many of them evenly
-    spaced. Token counts are made once a candidate, before the pairs.
+    spaced. Tokens are made once a candidate, before the pairs; pairs stay inside their group.
     """
-    rows = df.select(*keys, "candidate_index", "prediction", F.col("tokens"), T.counted(F.col("tokens")).alias("counts"))
-    other = rows.select(*keys, *(F.col(c).alias(f"p_{c}") for c in ("candidate_index", "prediction", "tokens", "counts")))
+    rows = df.select(*keys, "candidate_index", "prediction", "tokens")
+    other = rows.select(*keys, *(F.col(c).alias(f"p_{c}") for c in ("candidate_index", "prediction", "tokens")))
     pairs = rows.join(other, keys)
     differs = F.col("prediction") != F.col("p_prediction")
     w = W.partitionBy(*keys, "candidate_index")
@@ -93,7 +93,8 @@ def peer_utilities(df: DataFrame, keys: list[str], most: int | None = None) -> D
         step = (n - 1) / F.lit(max(most - 1, 1))
         wanted = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.bround(i * F.col("_step")).cast("int"))
         pairs = pairs.withColumns({"_place": place, "_all": n, "_step": step}).filter((F.col("_all") <= most) | F.array_contains(wanted, F.col("_place")))
-    common = T.overlap(F.col("counts"), F.col("p_counts"))
+    pairs = pairs.withColumn("_common", T.common(F.col("tokens"), F.col("p_tokens")))
+    common = F.col("_common")
     both = (F.size("tokens") > 0) & (F.size("p_tokens") > 0)
     f1 = F.when(both, 2.0 * common / (F.size("tokens") + F.size("p_tokens"))).otherwise(0.0)
     precision = F.when(both, common / F.size("tokens")).otherwise(0.0)
