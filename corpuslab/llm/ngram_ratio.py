@@ -1,8 +1,8 @@
 """Quality rules: a hashed n-gram log-likelihood ratio between trusted-target and raw-corpus multinomials.
 
 Words and pairs of adjacent words are hashed to `BUCKETS`. The raw multinomial counts every document; the target one a
-bounded sample of trusted documents. Both are smoothed; a document's score is the mean over its n-grams of
-log(target / raw), and it is kept if the score reaches a fixed threshold and the base rules hold.
+bounded sample of trusted documents, mixed with a little of the raw one. A document's score is the mean over its n-grams
+of log(target / raw); it is kept if the score reaches a fixed threshold and the base rules hold.
 """
 
 from __future__ import annotations
@@ -46,17 +46,17 @@ def gram_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, smoothing: float = 0.5) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, shrink: float = 0.02) -> np.ndarray:
     """log(target / raw) of every bucket. Trusted are documents whose label says quality 1, about `most` of them; without any, every ratio is 0."""
     raw = gram_counts(docs).astype(float)
     target = gram_counts(sample(docs, labels.filter("quality = 1"), "quality", F.lit(True), most)).astype(float)
     if not target.sum():
         return np.zeros(BUCKETS, np.float32)
     # the target is shrunk towards the raw corpus: a bucket that the sample could well have missed says little
-    prior = raw / max(raw.sum(), 1) * BUCKETS * smoothing
-    target = (target + prior + smoothing) / (target.sum() + prior.sum() + smoothing * BUCKETS)
-    raw = (raw + smoothing) / (raw.sum() + smoothing * BUCKETS)
-    return np.log(target / raw).astype(np.float32)
+    share = raw / raw.sum()
+    mixed = (target / target.sum() + shrink * share) / (1 + shrink)
+    seen = share > 0
+    return np.where(seen, np.log(np.where(seen, mixed, 1.0) / np.where(seen, share, 1.0)), 0.0).astype(np.float32)
 
 
 def judge(docs: DataFrame, ratio: np.ndarray, threshold: float, min_words: int = 50, most_repeated: int = 50) -> DataFrame:
