@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from .fixed import LEAKAGE_WORDS, QUECHUA_ENDINGS, QUECHUA_SIGNAL, SPACE, SPANISH_SIGNAL, WORD
+from .fixed import LEAKAGE_WORDS, QUECHUA_ENDINGS, QUECHUA_SIGNAL, SPACE, SPANISH_SIGNAL
 
 _ALPHANUMERIC = "([A-Za-zÁÉÍÓÚÜÑáéíóúüñ0-9]+)"
 
@@ -69,11 +69,6 @@ def content_tokens(tokens: Column, least: int = 3) -> Column:
     return F.array_distinct(F.filter(tokens, lambda t: (F.char_length(t) >= least) & ~F.array_contains(words_of(*LEAKAGE_WORDS), t)))
 
 
-def contains_term(text: Column, term: Column) -> Column:
-    """Whether text (normalised, lower case) holds the term between word borders."""
-    return F.regexp_like(text, F.concat(F.lit(f"(?<!{WORD})\\Q"), term, F.lit(f"\\E(?!{WORD})")))
-
-
 def ngrams(tokens: Column, n: int) -> Column:
     """Joined windows of n tokens; none if there are fewer."""
     count = F.size(tokens) - (n - 1)

@@ -1,6 +1,6 @@
 """Named queries and their comparison SQL."""
 
-from . import candidates, corpus
+from . import candidates, corpus, reports
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "candidates", "corpus"]
+__all__ = ["ORACLE_SQL", "QUERIES", "candidates", "corpus", "reports"]
