@@ -1,6 +1,6 @@
 """Named queries and their comparison SQL."""
 
-from . import candidates, corpus, examples, reports
+from . import candidates, choices, corpus, examples, reports
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "candidates", "corpus", "examples", "reports"]
+__all__ = ["ORACLE_SQL", "QUERIES", "candidates", "choices", "corpus", "examples", "reports"]
