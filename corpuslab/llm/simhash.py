@@ -15,7 +15,6 @@ list and no link between different fingerprints is lost.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -116,18 +115,22 @@ def _near(fp: np.ndarray, e: np.ndarray, i, j, distance: int) -> np.ndarray:
     return ok
 
 
-def _forest(fp: np.ndarray, e: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
-    """Edges that span each component among these fingerprints; a found one leaves the list, so dense groups end early."""
-    left = np.arange(len(fp))
+def _forest(fp: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
+    """Edges that span each component among these fingerprints; a found one leaves the list, so dense groups end early.
+
+    The exact distance is two operations on the words that are left, fewer than the lower bound takes, so it goes first.
+    """
+    left, words = np.arange(len(fp)), fp
     while len(left):
-        queue, left = [int(left[0])], left[1:]
+        queue, left, words = [int(left[0])], left[1:], words[1:]
         while queue and len(left):
             at = queue.pop()
-            near = _near(fp, e, np.full(len(left), at), left, distance)
-            for x in left[near].tolist():
-                yield at, x
-                queue.append(x)
-            left = left[~near]
+            near = np.bitwise_count(words ^ fp[at]) <= distance
+            found = left[near]
+            if len(found):
+                yield from ((at, x) for x in found.tolist())
+                queue.extend(found.tolist())
+                left, words = left[~near], words[~near]
 
 
 def _edges(table: pa.Table, distance: int) -> pa.RecordBatch:
@@ -149,7 +152,7 @@ def _edges(table: pa.Table, distance: int) -> pa.RecordBatch:
         vs.append(node[i + step])
     for k in np.flatnonzero(size > SHORT_RUN).tolist():
         lo, hi = starts[k], starts[k] + size[k]
-        pairs = np.array(list(_forest(fp[lo:hi], e[lo:hi], distance)), np.int64).reshape(-1, 2) + lo
+        pairs = np.array(list(_forest(fp[lo:hi], distance)), np.int64).reshape(-1, 2) + lo
         us.append(node[pairs[:, 0]])
         vs.append(node[pairs[:, 1]])
     empty = np.zeros(0, np.int64)
@@ -157,16 +160,18 @@ def _edges(table: pa.Table, distance: int) -> pa.RecordBatch:
 
 
 def links(classes: DataFrame, distance: int = 3) -> DataFrame:
-    """Edges (u, v) between nodes of classes (fp long, node long; one row a fingerprint) that join the same nodes as all pairs within `distance` bits would."""
+    """Edges (u, v) between nodes of classes (fp long, node long, and seed int if there are several; one row a fingerprint of a seed) that join the same nodes as all pairs of a seed within `distance` bits would."""
     masks = group_masks(distance)
+    classes = classes if "seed" in classes.columns else classes.withColumn("seed", F.lit(0))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             e = embedding(batch.column(0).to_numpy(zero_copy_only=False).view(_U))
+            seed = batch.column(2).to_numpy(zero_copy_only=False) * len(masks)
             for k, mask in enumerate(masks):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), k, np.int32)), pa.array((e & mask).view(np.int64)), batch.column(0), batch.column(1)], ["choice", "cell", "fp", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array((seed + k).astype(np.int32)), pa.array((e & mask).view(np.int64)), batch.column(0), batch.column(1)], ["choice", "cell", "fp", "node"])
 
-    rows = classes.select("fp", "node").mapInArrow(cells, "choice int, cell long, fp long, node long")
+    rows = classes.select("fp", "node", "seed").mapInArrow(cells, "choice int, cell long, fp long, node long")
     counts = rows.groupBy("choice", "cell").count().filter(F.col("count") > 1)
     rows = rows.join(counts, ["choice", "cell"])
     parts = F.ceil(F.col("count") * 2 / F.lit(CELL_MOST)).cast("int")
@@ -207,14 +212,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] =
     found = durable(fingerprints(docs, shingle, seeds), "fingerprints")
     names = found.columns[1:]
     classes = found.groupBy(*names).agg(F.min("doc_id").alias("node")).filter("node is not null")
-    edges = []
-    for name in names:
-        own = classes.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("node"))
-        edges.append(durable(links(own, distance), "links"))
-        if len(names) > 1:  # classes that share this fingerprint and differ in another
-            same = classes.select(F.col(name).alias("fp"), F.col("node").alias("u")).join(own, "fp").filter("u <> node")
-            edges.append(durable(same.select("u", F.col("node").alias("v")), "same"))
-    groups = connected_components(reduce(DataFrame.union, edges))
+    each = F.posexplode(F.array(*names)).alias("seed", "fp")
+    flat = classes.select("node", each)
+    own = flat.groupBy("seed", "fp").agg(F.min("node").alias("node"))
+    edges = links(own, distance)
+    if len(names) > 1:  # classes that share a fingerprint and differ in another
+        first = own.withColumnRenamed("node", "v")
+        edges = edges.union(flat.join(first, ["seed", "fp"]).filter("node <> v").select(F.col("node").alias("u"), "v"))
+    groups = connected_components(edges)
     classes = classes.join(groups, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
     return found.join(classes, names, "left").select("doc_id", F.col(names[0]).alias("fp"), "component_id")
 
