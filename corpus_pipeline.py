@@ -1,7 +1,7 @@
 """Five stages over documents; each one's result is written as Parquet and read again as the next one's documents.
 
 toxicity drops documents scored 0.7 or more, quality those scored below 0.3; near_dedup keeps one document of each group
-of near duplicates (five-word shingles); substring_dedup cuts out byte strings of 100 or more that stand earlier; packing
+of near duplicates (sets of five-word shingles with a Jaccard similarity of 0.8 or more); substring_dedup cuts out byte strings of 100 or more that stand earlier; packing
 lays the rest out in sequences. The models learn from the labelled rows that their queries learn from.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import factorisation, packing, simhash, substring_dedup, tokens, toxicity
+from corpuslab.llm import factorisation, near_copies, packing, substring_dedup, tokens, toxicity
 from corpuslab.llm._shared import durable, table
 from corpuslab.llm.labelled import remainder
 
@@ -26,7 +26,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, shingle=5)
+    return near_copies.keep_one(docs, shingle=5)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

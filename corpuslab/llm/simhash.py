@@ -33,13 +33,13 @@ CELL_MOST = 1 << 15
 SHORT_RUN = 32
 
 
-def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int, seeds: tuple[int, ...]) -> list[np.ndarray]:
-    """For each seed the fingerprints of the documents of a block."""
+def shingles_of(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start and end of each shingle in them, shingles of each document): `shingle` words of a document joined by single spaces, or all its words if it has fewer."""
     data = lower_ascii(data)
     starts, ends, of = words(data, offsets)
     n_docs = len(offsets) - 1
     if not len(starts):
-        return [np.zeros(n_docs, _U) for _ in seeds]
+        return data, starts, ends, np.zeros(n_docs, np.int64)
     # words of a document joined by single spaces: each word and the byte after it
     lengths = ends - starts + 1
     new_ends = np.cumsum(lengths) - 1
@@ -53,6 +53,16 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int, seeds:
     doc = np.repeat(np.arange(n_docs), n_shingles)
     first = of[doc] + np.arange(s_of[-1]) - s_of[doc]
     last = np.minimum(first + shingle, of[doc + 1]) - 1
+    return joined, new_starts[first], new_ends[last], n_shingles
+
+
+def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int, seeds: tuple[int, ...]) -> list[np.ndarray]:
+    """For each seed the fingerprints of the documents of a block."""
+    joined, first, last, n_shingles = shingles_of(data, offsets, shingle)
+    n_docs = len(offsets) - 1
+    if not len(first):
+        return [np.zeros(n_docs, _U) for _ in seeds]
+    s_of = np.concatenate(([0], np.cumsum(n_shingles)))
     # byte-wide counters, eight a word, over runs of at most 255
     some = np.flatnonzero(n_shingles)
     pieces = -(-n_shingles[some] // 255)
@@ -61,7 +71,7 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int, seeds:
     cuts = s_of[some][piece_doc] + 255 * (np.arange(p_of[-1]) - p_of[piece_doc])
     found = []
     for seed in seeds:
-        h = xxh64(joined, new_starts[first], new_ends[last], seed)
+        h = xxh64(joined, first, last, seed)
         out = np.zeros(n_docs, _U)
         for bit in range(8):
             plane = (h >> _U(bit)) & _U(0x0101010101010101)
