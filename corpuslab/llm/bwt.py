@@ -102,6 +102,8 @@ def first_windows(pieces: list[bytes], counts: np.ndarray, rank: np.ndarray, len
     concatenated in the order of the pieces given.
     """
     raw = b"".join(pieces)
+    if len(raw) >= MOST:
+        raise ValueError(f"{len(raw)} bytes of pieces, {MOST - 1} at most")
     text = np.empty(len(raw) + 1, np.uint16)
     text[:-1] = np.frombuffer(raw, np.uint8)
     text[:-1] += 1

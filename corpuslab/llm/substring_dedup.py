@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import durable, fresh_path, width
-from .bwt import first_windows
+from .bwt import MOST, first_windows
 from .textbatch import Hasher, blocks, mix
 
 _U = np.uint64
@@ -229,6 +229,53 @@ def _pieces(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, schema)
 
 
+def whole_anchors(batches: Iterator[pa.RecordBatch], full: int = BATCH, most: int = MOST - 1) -> Iterator[pa.Table]:
+    """Rows sorted by anchor in tables of whole anchors: of `full` bytes of pieces or a little more, and of more than `most` only if one anchor alone has more."""
+    held: list[pa.RecordBatch] = []  # whole anchors
+    last: list[pa.RecordBatch] = []  # the anchor that may go on
+    size = last_size = 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        key = batch.column(0).to_numpy()
+        sizes = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)))
+        ends = np.append(np.flatnonzero(np.diff(key) != 0) + 1, len(key)).tolist()
+        begin = 0
+        if last:
+            if last[-1].column(0)[-1].as_py() == key[0]:
+                begin = ends.pop(0)
+                last.append(batch.slice(0, begin))
+                last_size += int(sizes[begin])
+                if not ends:
+                    continue
+            if held and size + last_size > most:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+            held, size, last = held + last, size + last_size, []
+            if size >= full:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+        tail = ends[-2] if len(ends) > 1 else begin
+        before = begin
+        for hi in ends[:-1]:
+            if size + sizes[hi] - sizes[begin] > most and (held or before > begin):
+                yield pa.Table.from_batches([*held, batch.slice(begin, before - begin)])
+                held, size, begin = [], 0, before
+            if size + sizes[hi] - sizes[begin] >= full:
+                yield pa.Table.from_batches([*held, batch.slice(begin, hi - begin)])
+                held, size, begin = [], 0, hi
+            before = hi
+        if tail > begin:
+            held.append(batch.slice(begin, tail - begin))
+            size += int(sizes[tail] - sizes[begin])
+        last, last_size = [batch.slice(tail)], int(sizes[-1] - sizes[tail])
+    if held and size + last_size > most:
+        yield pa.Table.from_batches(held)
+        held = []
+    if held or last:
+        yield pa.Table.from_batches(held + last)
+
+
 def _standing_earlier(pieces: DataFrame, length: int) -> DataFrame:
     """Byte runs (doc, twin, start, stop) of the strings that stand earlier, from pieces sorted by anchor."""
 
@@ -264,29 +311,8 @@ def _standing_earlier(pieces: DataFrame, length: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(k)) for x, k in zip((d, t, s, e), kinds, strict=True)], ["doc", "twin", "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            if not len(batch):
-                continue
-            key = batch.column(0).to_numpy()
-            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-            ends = np.append(np.flatnonzero(np.diff(key) != 0) + 1, len(key))
-            if held and held[-1].column(0)[-1].as_py() != key[0] and size >= BATCH:
-                yield judge(pa.Table.from_batches(held))
-                held, size = [], 0
-            lo = 0
-            for hi in ends.tolist():  # a batch goes on until it is full and its last anchor has ended
-                total = size + int(sizes[hi - 1]) - (int(sizes[lo - 1]) if lo else 0)
-                if total >= BATCH and hi < len(key):
-                    held.append(batch.slice(lo, hi - lo))
-                    yield judge(pa.Table.from_batches(held))
-                    held, size, lo = [], 0, hi
-            if lo < len(key):
-                held.append(batch.slice(lo))
-                size += int(sizes[-1]) - (int(sizes[lo - 1]) if lo else 0)
-        if held:
-            yield judge(pa.Table.from_batches(held))
+        for table in whole_anchors(batches):
+            yield judge(table)
 
     return pieces.mapInArrow(run, "doc long, twin int, start long, stop long")
 
@@ -329,6 +355,7 @@ def remove_repeated(docs: DataFrame, length: int = 100, gram: int = GRAM, hot: i
     """
     if not 0 < gram <= length:
         raise ValueError("gram must lie in 1..length")
+    hot = min(hot, (MOST - 1) // (2 * length - gram))  # an anchor's pieces fit one transform
     parts = width(docs.sparkSession)
     known = _identified(docs.select("doc_id", "text"))
     each = known.groupBy(F.col("_doc").alias("doc"), F.col("_digest").alias("digest")).agg(F.count("*").alias("rows"))
