@@ -108,7 +108,10 @@ def passages(model: Model, sieve: np.ndarray, data: np.ndarray, offsets: np.ndar
             hit = model.hashes[place] == h[maybe]
             np.maximum.at(best, rows[maybe[hit]], model.scores[place[hit]])
     whole = Hasher(data)(starts, ends)
-    best[1:][whole[1:] == whole[:-1]] = 0  # a word said over and over counts once
+    again = np.zeros(len(starts), bool)
+    again[1:] = whole[1:] == whole[:-1]
+    again[of[:-1][of[:-1] < len(starts)]] = False  # a document's first word follows nothing
+    best[again] = 0  # a word said over and over counts once
     hits = np.flatnonzero(best > 0)
     doc = np.searchsorted(of, hits, "right") - 1
     for d in np.unique(doc).tolist():
