@@ -25,7 +25,7 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^<>]*\Z",
     re.S | re.I,
 )
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr input link meta".split())
 _NEVER = frozenset("nav header footer aside form button select option datalist dialog menu head fieldset legend canvas audio video applet frameset".split())
@@ -114,6 +114,17 @@ def _collect(html: str, wanted: str) -> list[tuple[str, list[int]]]:
             for _, owners in element.blocks:
                 owners.append(h)
 
+    def close_dropped(tag: str) -> None:
+        """End the innermost open inline element of this tag; only dropped ones, and those inside of them, are on the stack."""
+        for k in range(len(stack) - 1, 0, -1):
+            if not stack[k].drop:
+                break
+            if stack[k].tag == tag:
+                flush()
+                while len(stack) > k:
+                    close()
+                break
+
     at = 0
     for m in _TOKEN.finditer(html):
         if m.start() > at and stack[-1].inside and not stack[-1].drop:
@@ -131,6 +142,7 @@ def _collect(html: str, wanted: str) -> list[tuple[str, list[int]]]:
         inline = tag in _INLINE
         if m[2]:  # an end tag
             if inline:
+                close_dropped(tag)
                 continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
@@ -142,7 +154,9 @@ def _collect(html: str, wanted: str) -> list[tuple[str, list[int]]]:
                 flush()
             continue
         drop, role = _dropped(tag, m[4])
-        if inline and not drop:
+        if tag == "a":  # links don't nest
+            close_dropped(tag)
+        if inline and not drop and not (stack[-1].drop and any(e.tag == tag for e in stack)):
             continue
         flush()
         if tag in _CLOSES_P and stack[-1].tag == "p":
