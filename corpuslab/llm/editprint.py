@@ -6,7 +6,9 @@ again soon, so their emitted strings are near in Hamming distance, and unrelated
 that string: level k covers 64 * 2**k steps after those of the levels below it and keeps one bit from each 2**k of them.
 The walk covers the whole text, whatever its length. Likeness weighs each sampled bit by the steps it stands for.
 
-Bands of sampled bits find candidates for near duplicates; likeness verifies them.
+Bands of sampled bits find candidates for near duplicates; likeness verifies them. `BANDS` bands take `BAND_BITS` bits
+each of a fingerprint's last `TOP` levels, which hold most of its weight. Of a level that differs in d of 64 bits a band
+is equal with probability (64 - BAND_BITS over d) / (64 over d).
 """
 
 from __future__ import annotations
@@ -19,13 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bucket_of, range_bounds, width
+from ._shared import bucket_of, durable, range_bounds, width
+from .components import connected_components
 from .textbatch import blocks, mix
 
 _U = np.uint64
 PERIOD_BITS = 12
 SAMPLES = 64
 BLOCK = 3 << 20
+BANDS, BAND_BITS, TOP = 16, 20, 4
+CELL_MOST = 1 << 13
+SMALL, FAR = 64, 16
 FEW = 48  # this many walks or fewer advance one by one
 
 
@@ -274,3 +280,152 @@ def compared_with_next(docs: DataFrame) -> DataFrame:
             kept = whole.slice(n - 1)
 
     return ordered.select("doc_id", "text", "extra").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+def _bands() -> np.ndarray:
+    """The mask of each band's bits."""
+    chosen = np.argsort(mix(np.arange(BANDS * SAMPLES, dtype=_U) + _U(0xBA4D)).reshape(BANDS, SAMPLES), axis=1)[:, :BAND_BITS]
+    return np.bitwise_or.reduce(_U(1) << chosen.astype(_U), axis=1)
+
+
+def _matrix(prints: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bits, a row a fingerprint and a column a level, missing ones 0; steps)."""
+    parsed = [parse(p) for p in prints]
+    bits = np.zeros((len(parsed), max((len(b) for b, _ in parsed), default=0)), _U)
+    for r, (b, _) in enumerate(parsed):
+        bits[r, : len(b)] = b
+    return bits, np.array([n for _, n in parsed], np.int64)
+
+
+def _likeness_to(bits: np.ndarray, total: np.ndarray, at: int, rows: np.ndarray) -> np.ndarray:
+    """likeness() of row `at` of a matrix and each of `rows`."""
+    most, least = np.maximum(total[rows], total[at]), np.minimum(total[rows], total[at])
+    same, other = np.zeros(len(rows)), np.zeros(len(rows))
+    for k in range(bits.shape[1]):
+        steps = _STEPS(k)
+        both, either = np.searchsorted(steps, least, "left"), np.searchsorted(steps, most, "left")
+        mask = np.where(both >= SAMPLES, ~_U(0), (_U(1) << np.minimum(both, SAMPLES - 1).astype(_U)) - _U(1))
+        same += float(1 << k) * (both - 2.0 * np.bitwise_count((bits[rows, k] ^ bits[at, k]) & mask))
+        other += float(1 << k) * either
+    return np.where(other > 0, np.clip(same / np.maximum(other, 1), 0, 1), 1.0)
+
+
+def _forest(prints: list[str], nodes: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
+    """Edges that span each component of the pairs of at least that likeness; a found one leaves the list, so dense cells end early."""
+    bits, total = _matrix(prints)
+    left = np.arange(len(nodes))
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            at = queue.pop()
+            near = _likeness_to(bits, total, at, left) >= least
+            found = left[near].tolist()
+            yield from ((int(nodes[at]), int(nodes[x])) for x in found)
+            queue.extend(found)
+            left = left[~near]
+
+
+def _with_partners(table: pa.Table) -> pa.Table:
+    """Of rows (band, cell, node, word) sorted by cell, whole cells: those with a partner in their cell whose level differs in at most FAR bits, and all of cells of more than SMALL rows.
+
+    Unrelated levels that share a band differ in 22 of the other 44 bits, so chance meetings end here.
+    """
+    band, cell, word = table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(3).to_numpy().view(_U)
+    new = np.ones(len(band), bool)
+    new[1:] = (np.diff(band) != 0) | (np.diff(cell) != 0)
+    run = np.cumsum(new) - 1
+    size = np.bincount(run)
+    keep = size[run] > SMALL
+    for step in range(1, min(SMALL, int(size.max(initial=1)))):
+        i = np.flatnonzero((run[:-step] == run[step:]) & ~(keep[:-step] & keep[step:]))
+        if not len(i):
+            continue
+        i = i[np.bitwise_count(word[i] ^ word[i + step]) <= FAR]
+        keep[i] = keep[i + step] = True
+    return table.select(["band", "cell", "node"]).filter(pa.array(keep)).combine_chunks()
+
+
+def near_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """(doc_id, fingerprint, class_id) for every row of docs; see with_classes."""
+    return with_classes(durable(fingerprints(docs), "prints"), least)
+
+
+def with_classes(found: DataFrame, least: float = 0.8) -> DataFrame:
+    """found (doc_id, fingerprint and more, read several times) with class_id: the smallest doc_id reachable over candidates of at least that likeness.
+
+    Equal fingerprints are one class. Rows without doc_id get the class of an equal fingerprint (null if there is none).
+    A cell of more than `CELL_MOST` fingerprints is dealt out as pairs of its parts, so none of its pairs is lost.
+    """
+    own = durable(found.groupBy("fingerprint").agg(F.min("doc_id").alias("node")).filter("node is not null"), "nodes")
+    masks = _bands()
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, prints = batch.column(1).to_numpy(), batch.column(0).to_pylist()
+            cells, nodes, which, words = [], [], [], []
+            for p, d in zip(prints, node.tolist(), strict=True):
+                bits, _ = parse(p)
+                for level in range(max(0, len(bits) - TOP), len(bits)):
+                    cells.append(bits[level] & masks)
+                    which.append(np.arange(BANDS) + level * BANDS)
+                    nodes.append(np.full(BANDS, d))
+                    words.append(np.full(BANDS, bits[level]))
+            if cells:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(which).astype(np.int32)), pa.array(np.concatenate(cells).view(np.int64)), pa.array(np.concatenate(nodes).astype(np.int64)), pa.array(np.concatenate(words).view(np.int64))], ["band", "cell", "node", "word"])
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            band, cell = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != (band[0], cell[0]):
+                yield from _with_partners(pa.Table.from_batches(held)).to_batches()
+                held = []
+            other = np.flatnonzero((band != band[-1]) | (cell != cell[-1]))
+            same = int(other[-1]) + 1 if len(other) else 0  # from here on the last cell, which may go on
+            if same:
+                yield from _with_partners(pa.Table.from_batches([*held, batch.slice(0, same)])).to_batches()
+                held = []
+            held.append(batch.slice(same))
+        if held:
+            yield from _with_partners(pa.Table.from_batches(held)).to_batches()
+
+    spread = own.mapInArrow(keys, "band int, cell long, node long, word long").repartition(width(found.sparkSession), "band", "cell").sortWithinPartitions("band", "cell")
+    rows = durable(spread.mapInArrow(prune, "band int, cell long, node long"), "cells")
+    sizes = rows.groupBy("band", "cell").agg(F.count("*").alias("size")).filter("size > 1")
+    rows = rows.join(sizes, ["band", "cell"]).join(own, "node")
+    parts = F.ceil(F.col("size") * 2 / F.lit(CELL_MOST)).cast("int")
+    dealt = F.pmod(F.xxhash64("fingerprint"), F.col("parts").cast("long")).cast("int")
+    both = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(j, F.col("own")) * F.col("parts") + F.greatest(j, F.col("own")))
+    hot = rows.filter(F.col("size") > CELL_MOST).withColumn("parts", parts).withColumn("own", dealt).withColumn("part", F.explode(both)).drop("parts", "own")
+    rows = rows.filter(F.col("size") <= CELL_MOST).withColumn("part", F.lit(0)).unionByName(hot).select("band", "cell", "part", "node", "fingerprint")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, nodes, prints = None, [], []
+        us, vs = [], []
+
+        def end() -> None:
+            if len(nodes) > 1:
+                for u, v in _forest(prints, np.array(nodes, np.int64), least):
+                    us.append(u)
+                    vs.append(v)
+
+        for batch in batches:
+            for band, cell, part, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (band, cell, part):
+                    end()
+                    at, nodes, prints = (band, cell, part), [], []
+                nodes.append(node)
+                prints.append(text)
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+                us, vs = [], []
+        end()
+        if us:
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    edges = rows.repartition(width(found.sparkSession), "band", "cell", "part").sortWithinPartitions("band", "cell", "part").mapInArrow(join, "u long, v long")
+    groups = connected_components(edges)
+    classes = own.join(groups, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("class_id"))
+    return found.join(classes, "fingerprint", "left").select(*found.columns, "class_id")
