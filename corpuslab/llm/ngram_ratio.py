@@ -1,7 +1,7 @@
 """Quality rules: a hashed n-gram log-likelihood ratio between trusted-target and raw-corpus multinomials.
 
-Words and pairs of adjacent words are hashed to `BUCKETS`. The raw multinomial counts every document; the target one a
-bounded sample of trusted documents, mixed with a little of the raw one. A document's score is the mean over its n-grams
+Words and pairs of adjacent words are hashed to `BUCKETS`. The raw multinomial counts every document, the target one every
+trusted document, mixed with a little of the raw one. A document's score is the mean over its n-grams
 of log(target / raw); it is kept if the score reaches a fixed threshold and the base rules hold.
 """
 
@@ -14,7 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import sample
 from .textbatch import blocks
 from .textstats import Structure
 
@@ -46,13 +45,15 @@ def gram_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, shrink: float = 0.02) -> np.ndarray:
-    """log(target / raw) of every bucket. Trusted are documents whose label says quality 1, about `most` of them; without any, every ratio is 0."""
+def fit(docs: DataFrame, labels: DataFrame, shrink: float = 0.02) -> np.ndarray:
+    """log(target / raw) of every bucket. Trusted are all documents with a label of quality 1; without any, every ratio is 0."""
     raw = gram_counts(docs).astype(float)
-    target = gram_counts(sample(docs, labels.filter("quality = 1"), "quality", F.lit(True), most)).astype(float)
+    trusted = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    target = gram_counts(texts.join(trusted, "doc_id", "left_semi")).astype(float)  # Spark broadcasts the ids if they are few, by their size
     if not target.sum():
         return np.zeros(BUCKETS, np.float32)
-    # the target is shrunk towards the raw corpus: a bucket that the sample could well have missed says little
+    # the target is shrunk towards the raw corpus: a bucket that they could well have missed says little
     share = raw / raw.sum()
     mixed = (target / target.sum() + shrink * share) / (1 + shrink)
     seen = share > 0
