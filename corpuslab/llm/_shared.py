@@ -1,22 +1,27 @@
-"""What the operators of this package share: tables, durable cuts and range buckets."""
+"""What the operators of this package share: tables, durable cuts, lookups with hot keys and range buckets."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from bisect import bisect_right
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+HOT_KEYS = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the setting is missing."""
+    """The folder that driver and executors share. Without the setting, a local one under a local master, and an error elsewhere."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return found or tempfile.mkdtemp(prefix="corpuslab-")
 
 
@@ -35,25 +40,44 @@ def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def range_bounds(df: DataFrame, key: str, parts: int) -> list:
-    """At most parts - 1 ascending values that cut a numeric column into ranges of similar size. Only the balance depends on them, never a result."""
-    if parts <= 1:
-        return []
-    got = df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.2 / parts)
-    return sorted({int(x) for x in got})
+def unused(columns: list[str], name: str) -> str:
+    """name, with underscores before it until no column is called that, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
 
+def lookup(rows: DataFrame, facts: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
+    """rows joined with facts, which have one row for each key and in `size` how many rows share it.
 
-def bucket_of(key: Column, bounds: list) -> Column:
-    """The number of bounds at or below the key, by a balanced tree of comparisons."""
+    The `HOT_KEYS` most frequent keys' facts are broadcast and their rows stay where they are; the others meet by shuffle,
+    so no task holds more of one key than a `HOT_KEYS`-th of all rows. Keys are never null in facts.
+    """
+    hot = facts.orderBy(F.desc(size), *keys).limit(HOT_KEYS)
+    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
+    taken = marked.filter("_hot").drop("_hot")
+    others = marked.filter("_hot is null").select(*rows.columns).join(facts.join(F.broadcast(hot.select(*keys)), keys, "left_anti"), keys, how)
+    return taken.unionByName(others)
+
+
+def range_bounds(df: DataFrame, key: str, parts: int) -> np.ndarray:
+    """At most parts - 1 ascending values that cut a long column into ranges of similar size, from a sample of about 20 keys
+    a range. Only the balance depends on them, never a result."""
+    if parts <= 1:
+        return np.zeros(0, np.int64)
+    n = df.count()
+    got = np.sort(df.select(key).sample(min(1.0, 20.0 * parts / max(n, 1)), seed=7).toPandas()[key].to_numpy(np.int64))
+    return np.unique(got[(np.arange(1, parts) * len(got)) // parts]) if len(got) else np.zeros(0, np.int64)
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    return tree(0, len(bounds)) if bounds else F.lit(0)
+def bucket_of(key: Column, bounds: np.ndarray) -> Column:
+    """The number of bounds at or below the key, by binary search; the bounds travel as an array, not as code."""
+    if not len(bounds):
+        return F.lit(0)
 
+    @F.pandas_udf("int")
+    def place(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, keys.to_numpy(np.int64), "right").astype(np.int32))
 
-def bucket_at(value, bounds: list) -> int:
-    return bisect_right(bounds, value)
+    return place(key)
