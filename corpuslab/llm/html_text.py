@@ -1,10 +1,11 @@
 """Main text of HTML pages: site template removal by counting hashed element subtrees per host.
 
-A page is parsed once. Elements that are never main text by their kind (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, comments) go at once. What is left of the main region (article, else main, else body)
-is a list of blocks; each names the subtrees whose fate its own page can't tell: containers inside the region, and every
-element where a page marks no region. Their hashes are counted per host, once for each different region, so that copies
-of one article don't make its parts a template. Subtrees that recur on many of a host's pages are deleted.
+A page is parsed once into the blocks of its whole body. Each names the subtrees around it: every element outside of the
+main region (article, else main, else body), containers inside of it, and every element of a page that marks no region.
+Their hashes are counted per host, once for each different main region, so that copies of one article don't make its
+parts a template. Subtrees that recur on many of a host's pages are deleted with all their blocks. What recurs on few
+pages goes by two plainer rules: elements that are never main text by their kind (menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles, comments), and everything outside a marked region.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from html import unescape
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import durable
+from ._shared import durable, lookup
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|math|textarea|title|xmp|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
@@ -39,12 +40,17 @@ _NOT_TEXT = frozenset(
     "newsletter subscribe subscription signup share sharing social sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments commentlist "
     "reply replies respond discussion disqus related recommended recommendations widget pagination pager skip login search toolbar".split()
 )
+_PLAIN = frozenset(
+    "article bar block body bottom box button buttons col column container content field fixed float form global header icon icons inline inner item items left link links list main "
+    "mobile outer page panel post posts primary reader right section secondary site small sticky story text thread title top user users wrap wrapper".split()
+)
 _HEADERS = frozenset(["header", "site-header", "page-header", "global-header", "top-header"])
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
 
 
 def _dropped(tag: str, attributes: str) -> tuple[bool, str]:
-    """Whether an element is no main text by its kind, and its role."""
+    """Whether an element is no main text by its kind, and its role. A class counts if all its parts say so or say nothing: related-links, not related-work."""
     if tag in _NEVER:
         return True, ""
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
@@ -60,17 +66,25 @@ def _dropped(tag: str, attributes: str) -> tuple[bool, str]:
                 return True, ""
         elif name in ("class", "id") and tag not in _WHOLE - {"article"}:
             for word in value.split():
-                if word in _HEADERS or any(part in _NOT_TEXT for part in re.split(r"[-_]+", word)):
+                parts = [part for part in re.split(r"[-_0-9]+", word) if part]
+                if word in _HEADERS or any(part in _NOT_TEXT for part in parts) and all(part in _NOT_TEXT or part in _PLAIN for part in parts):
                     return True, ""
     return False, role
 
 
+KEEP, KIND, OUTSIDE = range(3)
+
+
 class _Element:
-    __slots__ = ("tag", "region", "drop", "blocks", "undecided", "inside")
+    __slots__ = ("tag", "drop", "blocks", "counted", "inside", "heading")
 
-    def __init__(self, tag: str, region: bool, drop: bool, inside: bool, undecided: bool):
-        self.tag, self.region, self.drop, self.inside, self.undecided = tag, region, drop, inside, undecided
-        self.blocks: list[tuple[str, list[int]]] = []
+    def __init__(self, tag: str, drop: bool, inside: bool, counted: bool, heading: bool = False):
+        self.tag, self.drop, self.inside, self.counted, self.heading = tag, drop, inside, counted, heading
+        self.blocks: list[tuple[str, list[int], int]] = []
+
+    @property
+    def rule(self) -> int:
+        return KIND if self.drop else KEEP if self.inside else OUTSIDE
 
 
 def _hash(text: str) -> int:
@@ -78,40 +92,45 @@ def _hash(text: str) -> int:
 
 
 def parse(html: str) -> tuple[list[tuple[str, list[int]]], int]:
-    """(blocks, hash of the main region's text); a block is its text and the hashes of the undecided subtrees around it."""
+    """(blocks, hash of the main region's text): the blocks that no rule of their page drops, with their counted subtrees."""
+    blocks, region = parse_body(html)
+    return [(t, owners) for t, owners, rule in blocks if rule == KEEP], region
+
+
+def parse_body(html: str) -> tuple[list[tuple[str, list[int], int]], int]:
+    """(blocks, hash of the main region's text); a block is its text, the hashes of the counted subtrees around it, and the
+    rule that drops it if none of them recurs: KEEP for none, KIND or OUTSIDE."""
     marked = {m.lower() for m in re.findall(r"<(article|main)\b|role\s*=\s*[\"']?(main)\b", html, re.I) for m in m if m}
     wanted = "article" if "article" in marked else "main" if "main" in marked else ""
     for choice in dict.fromkeys([wanted, "main" if "main" in marked else "", ""]):
         blocks = _collect(html, choice)
-        if blocks or not choice:
+        if not choice or any(rule == KEEP for _, _, rule in blocks):
             break
-    return blocks, _hash("\n".join(t for t, _ in blocks))
+    return blocks, _hash("\n".join(t for t, _, rule in blocks if rule == KEEP))
 
 
-def _collect(html: str, wanted: str) -> list[tuple[str, list[int]]]:
-    root = _Element("", not wanted, False, not wanted, False)
-    stack = [root]
+def _collect(html: str, wanted: str) -> list[tuple[str, list[int], int]]:
+    stack = [_Element("", False, not wanted, False)]
     text: list[str] = []
-    out: list[tuple[str, list[int]]] = []
+    out: list[tuple[str, list[int], int]] = []
 
     def flush() -> None:
-        top = stack[-1]
         if text:
-            if top.inside and not top.drop:
-                joined = " ".join("".join(text).split())
-                if joined:
-                    block = (joined, [])
-                    out.append(block)
-                    for element in stack:
-                        if element.undecided:
-                            element.blocks.append(block)
+            joined = " ".join("".join(text).split())
+            if joined:
+                block = (joined, [], stack[-1].rule)
+                out.append(block)
+                for element in stack:
+                    if element.counted:
+                        element.blocks.append(block)
             text.clear()
 
     def close() -> None:
         element = stack.pop()
-        if element.undecided and element.blocks:
-            h = _hash(element.tag + "\n" + "\n".join(t for t, _ in element.blocks))
-            for _, owners in element.blocks:
+        if element.counted and element.blocks:
+            own = element.rule
+            h = _hash(element.tag + "\n" + "\n".join(t for t, _, rule in element.blocks if own != KEEP or rule == KEEP))
+            for _, owners, _ in element.blocks:
                 owners.append(h)
 
     def close_dropped(tag: str) -> None:
@@ -127,7 +146,7 @@ def _collect(html: str, wanted: str) -> list[tuple[str, list[int]]]:
 
     at = 0
     for m in _TOKEN.finditer(html):
-        if m.start() > at and stack[-1].inside and not stack[-1].drop:
+        if m.start() > at:
             text.append(unescape(html[at : m.start()]))
         at = m.end()
         tag = m[3]
@@ -175,10 +194,11 @@ def _collect(html: str, wanted: str) -> list[tuple[str, list[int]]]:
         top = stack[-1]
         region = tag == wanted or wanted == "main" and role == "main"
         inside = top.inside or region
-        marked = bool(wanted)
-        undecided = inside and not region and tag not in _WHOLE and (not marked or tag not in _LEAVES)
-        stack.append(_Element(tag, region, drop or top.drop, inside, undecided))
-    if at < len(html) and stack[-1].inside and not stack[-1].drop:
+        heading = top.heading and top.inside or wanted != "" and tag == "header" and inside and not top.drop
+        gone = (drop or top.drop) and not (top.heading and tag in _HEADINGS and not drop)
+        counted = not region and tag not in _WHOLE and tag != "head" and (gone or not inside or not wanted or tag not in _LEAVES)
+        stack.append(_Element(tag, gone, inside, counted, heading and gone))
+    if at < len(html):
         text.append(unescape(html[at:]))
     flush()
     while len(stack) > 1:
@@ -186,37 +206,48 @@ def _collect(html: str, wanted: str) -> list[tuple[str, list[int]]]:
     return out
 
 
-def extract(pages: DataFrame, share: float = 0.1, least: int = 3) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row of pages.
+def _lost(rule: str) -> Column:
+    """The code points of the blocks that a rule takes."""
+    return F.aggregate(F.filter("blocks", lambda b: b["lost"] == rule), F.lit(0).cast("long"), lambda n, b: n + b["n"])
+
+
+def extract(pages: DataFrame, share: float = 0.1, least: int = 3, many: int = 1000) -> DataFrame:
+    """(page_id, url, text, n_chars, n_template, n_kind, n_outside) of every row of pages.
 
-    A subtree is template if it recurs in at least `least` different regions and in `share` of the host's. A null page is
-    empty; a null url is a host of its own; repeated rows stay.
+    A subtree is template if it recurs in at least `least` different regions and in `share` of the host's, or in `many` of
+    them, so that a box of one section of a large host goes too. The last three columns are the code points of the blocks
+    that went as template, by their kind and as outside the region. A null page is empty; a null url is a host of its own;
+    repeated rows stay; no rows give none.
     """
-    block = pa.struct([("text", pa.string()), ("owners", pa.list_(pa.int64()))])
+    block = pa.struct([("text", pa.string()), ("owners", pa.list_(pa.int64())), ("rule", pa.int8()), ("n", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, regions = [], []
             for html in batch.column(2).to_pylist():
-                blocks, region = parse(html or "")
-                found.append([{"text": t, "owners": o} for t, o in blocks])
+                blocks, region = parse_body(html or "")
+                found.append([{"text": t if rule == KEEP else None, "owners": o, "rule": rule, "n": len(t)} for t, o, rule in blocks])
                 regions.append(region)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(regions, pa.int64()), pa.array(found, pa.list_(block))], ["page_id", "url", "region", "blocks"])
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    parsed = rows.mapInArrow(run, "page_id long, url string, region long, blocks array<struct<text:string,owners:array<long>>>")
+    parsed = rows.mapInArrow(run, "page_id long, url string, region long, blocks array<struct<text:string,owners:array<long>,rule:byte,n:int>>")
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    owners = F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["owners"])))
-    parsed = durable(parsed.withColumn("row", F.monotonically_increasing_id()).withColumn("host", host).withColumn("owners", owners), "pages")
+    parsed = durable(parsed.withColumn("row", F.monotonically_increasing_id()).withColumn("host", host), "pages")
 
-    open_rows = parsed.filter(F.size("owners") > 0)
-    owned = open_rows.select("row", "host", "region", F.explode("owners").alias("owner"))
+    owners = F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["owners"])))
+    owned = parsed.select("row", "host", "region", F.explode(owners).alias("owner"))
     counted = owned.select("host", "owner", "region").distinct().groupBy("host", "owner").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     sizes = parsed.select("host", "region").distinct().groupBy("host").agg(F.count("*").alias("regions"))
-    template = counted.join(sizes, "host").filter(F.col("n") >= share * F.col("regions")).select("host", "owner")
-    lost = owned.join(template, ["host", "owner"]).groupBy("row").agg(F.collect_set("owner").alias("template"))
-    closed = parsed.filter(F.size("owners") == 0).select("page_id", "url", "blocks")
-    left = F.filter("blocks", lambda b: ~F.arrays_overlap(b["owners"], F.coalesce("template", F.array().cast("array<long>"))))
-    cut = open_rows.join(lost, "row", "left").select("page_id", "url", left.alias("blocks"))
-    text = F.array_join(F.transform("blocks", lambda b: b["text"]), " ")
-    return closed.union(cut).select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    template = lookup(counted, sizes, ["host"], "regions").filter((F.col("n") >= share * F.col("regions")) | (F.col("n") >= many))
+    template = durable(template.select("host", "owner", "n"), "templates")
+    lost = lookup(owned.select("row", "host", "owner"), template, ["host", "owner"], "n").groupBy("row").agg(F.collect_set("owner").alias("template"))
+    none = F.array().cast("array<long>")
+    judged = F.transform(
+        "blocks",
+        lambda b: F.struct(b["text"].alias("text"), b["n"].alias("n"), F.when(F.arrays_overlap(b["owners"], F.coalesce("template", none)), "template").when(b["rule"] == KIND, "kind").when(b["rule"] == OUTSIDE, "outside").otherwise("").alias("lost")),
+    )
+    cut = parsed.join(lost, "row", "left").select("page_id", "url", judged.alias("blocks"))
+    text = F.array_join(F.transform(F.filter("blocks", lambda b: b["lost"] == ""), lambda b: b["text"]), " ")
+    out = cut.select("page_id", "url", text.alias("text"), *(_lost(r).alias(f"n_{r}") for r in ("template", "kind", "outside")))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_template", "n_kind", "n_outside")
