@@ -23,10 +23,10 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import durable, fresh_path, width
+from ._shared import durable, fresh_path, lookup, unused, width
 from .bwt import MOST, first_windows
 from .textbatch import Hasher, blocks, mix
 
@@ -328,10 +328,13 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _data() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+
+
 def _identified(docs: DataFrame) -> DataFrame:
-    """docs with doc (doc_id, missing ones least), digest (of the text's bytes) and bytes (null: empty)."""
-    data = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    return docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))).withColumn("_bytes", data).withColumn("_digest", F.sha2(data, 256))
+    """(doc, digest, text) of docs: doc_id with missing ones least, the digest of the text's bytes, and these (null: empty)."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc"), F.sha2(_data(), 256).alias("digest"), _data().alias("text"))
 
 
 def _stored(texts: DataFrame, parts: int) -> DataFrame:
@@ -357,13 +360,11 @@ def remove_repeated(docs: DataFrame, length: int = 100, gram: int = GRAM, hot: i
         raise ValueError("gram must lie in 1..length")
     hot = min(hot, (MOST - 1) // (2 * length - gram))  # an anchor's pieces fit one transform
     parts = width(docs.sparkSession)
-    known = _identified(docs.select("doc_id", "text"))
-    each = known.groupBy(F.col("_doc").alias("doc"), F.col("_digest").alias("digest")).agg(F.count("*").alias("rows"))
-    each = durable(each, "digests")
-    firsts = each.groupBy("digest").agg(F.min("doc").alias("least"))
+    texts = _identified(docs)
+    each = durable(texts.groupBy("doc", "digest").agg(F.count("*").alias("rows")), "digests")
+    firsts = each.groupBy("digest").agg(F.min("doc").alias("least"), F.count("*").alias("n"))
     facts = F.struct("digest", (F.col("least") == F.col("doc")).alias("is_first"), "rows")
-    by_doc = each.join(firsts, "digest").groupBy("doc").agg(F.sort_array(F.collect_list(facts)).alias("facts"))
-    texts = known.select(F.col("_doc").alias("doc"), F.col("_digest").alias("digest"), F.col("_bytes").alias("text"))
+    by_doc = lookup(each, firsts, ["digest"], "n").groupBy("doc").agg(F.sort_array(F.collect_list(facts)).alias("facts"))
     if not each.filter("rows > 1").isEmpty():
         texts = texts.dropDuplicates(["doc", "digest"])
     twin = F.array_position(F.col("facts.digest"), F.col("digest")).cast("int")
@@ -408,13 +409,18 @@ _OUT = ["doc", "digest", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept
 
 
 def without_repeats(docs: DataFrame, length: int = 100, gram: int = GRAM) -> DataFrame:
-    """docs with each text cut down to what stays; a code point that lost a byte goes whole. A text that nothing is cut from stays as it is, null included."""
-    cut = remove_repeated(docs, length, gram).filter("kept is not null").select(F.coalesce("doc_id", F.lit(LEAST)).alias("_doc"), F.col("digest").alias("_digest"), "kept").dropDuplicates(["_doc", "_digest"])
+    """docs with each text cut down to what stays, with all their columns in their order, whatever their names.
+
+    A code point that lost a byte goes whole. A text that nothing is cut from stays as it is, null included.
+    """
+    cut = remove_repeated(docs.select("doc_id", "text"), length, gram).filter("kept is not null")
+    doc, digest, kept = (unused(docs.columns, n) for n in ("_doc", "_digest", "_kept"))
+    cut = cut.select(F.coalesce("doc_id", F.lit(LEAST)).alias(doc), F.col("digest").alias(digest), F.col("kept").alias(kept)).dropDuplicates([doc, digest])
 
     @F.pandas_udf("string")
     def readable(kept: pd.Series) -> pd.Series:
         return kept.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
 
-    joined = _identified(docs).drop("_bytes").join(cut, ["_doc", "_digest"], "left")
-    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(readable("kept"))
-    return joined.withColumn("text", text).select(docs.columns)
+    known = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)), digest: F.sha2(_data(), 256)})
+    text = F.when(F.col(kept).isNull(), F.col("text")).otherwise(readable(kept))
+    return known.join(cut, [doc, digest], "left").withColumn("text", text).select(docs.columns)
