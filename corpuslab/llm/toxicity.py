@@ -5,8 +5,8 @@ inflected and compound forms. From a bounded sample of labelled rows each featur
 toxic document against a harmless one, with a Dirichlet prior in proportion to the feature's own frequency, less
 `SURE` standard errors. A token scores its best feature if that is positive, and a small negative number otherwise. One
 linear scan per text finds every maximal segment. Under the background distribution of token scores the best segment of
-n tokens follows an extreme-value law with the rate lambda that solves sum p(s) exp(lambda s) = 1; a segment's excess is
-lambda * S - ln(K n). The excesses of a document's significant segments are summed and mapped to [0, 1] by a logistic
+n tokens follows an extreme-value law with the rate lambda that solves sum p(s) exp(lambda s) = 1 and the factor K that
+the sample's harmless documents make likeliest; a segment's excess is lambda * S - ln(K n). The excesses of a document's significant segments are summed and mapped to [0, 1] by a logistic
 curve fitted on the sample's documents with a positive token; the others get the share of toxic labels among them.
 """
 
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ._shared import unused
 from .labelled import sample
 from .textbatch import Hasher, blocks, lower_latin, runs
 
@@ -29,7 +30,6 @@ _U = np.uint64
 PREFIXES = (4, 5, 6)
 GAP = -0.05
 SURE = 2.0
-MOST_FEATURES = 1 << 16
 CLEAN = -100.0  # the excess of a text without a positive token
 _BITS = 22
 _TOKEN = np.zeros(256, bool)
@@ -63,7 +63,7 @@ class Model:
     hashes: np.ndarray
     scores: np.ndarray
     rate: float = 1.0
-    log_k: float = math.log(0.1)
+    log_k: float = 0.0
     slope: float = 1.0
     shift: float = 0.0
     clean: float = 0.0  # the score of a text without a positive token
@@ -128,7 +128,11 @@ def excess_of(found: list[tuple[int, int, float]]) -> float:
 
 
 def _counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
-    """Features that toxic documents of the sample hold, with the numbers of toxic and harmless documents, and the totals."""
+    """Features that toxic documents of the sample hold, with the numbers of toxic and harmless documents, and the totals.
+
+    Only those that three toxic documents or more hold, three times as often as harmless ones do, reach the driver: a
+    third at most of the distinct features of the sample's toxic documents, whatever the corpus' size.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +161,7 @@ def _counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, float
     totals = found.agg(F.sum("yes"), F.sum("no")).first()
     n_yes, n_no = float(totals[0] or 0), float(totals[1] or 0)
     likely = found.filter((F.col("yes") >= 3) & (F.col("yes") * F.lit(max(n_no, 1.0)) > 3 * F.col("no") * F.lit(max(n_yes, 1.0))))
-    rows = likely.orderBy(F.desc("yes"), "no", "h").limit(MOST_FEATURES).toPandas()
+    rows = likely.toPandas()
     return rows["h"].to_numpy(np.int64).view(_U), rows["yes"].to_numpy(float), rows["no"].to_numpy(float), n_yes, n_no
 
 
@@ -185,6 +189,15 @@ def rate_of(scores: np.ndarray, chances: np.ndarray, gap: float) -> float:
     return low
 
 
+def log_k_of(some: int | None, seen: float | None) -> float:
+    """ln K of the extreme-value law P(best score <= s) = exp(-K n exp(-lambda s)), by maximum likelihood.
+
+    `some` harmless texts have a positive segment, and `seen` is the sum over all of them of n exp(-lambda s), with s = 0
+    for the others, of which the law only says that they stay at 0: K = some / seen. Without such texts K is 0.1.
+    """
+    return math.log(some / seen) if some and seen else math.log(0.1)
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: Column, most: int = 20_000) -> Model:
     """Learn from about `most` labelled documents at most that `rows` (a predicate on labels) admits. Without toxic ones nothing scores."""
     texts = sample(docs, labels, "toxic", rows, most).select("doc_id", "text", "label").persist()
@@ -195,7 +208,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: Column, most: int = 20_000) ->
     order = np.argsort(h)
     prior = 0.1 * (yes + no)
     chances = (no + prior) / max(1.0, n_no + 0.1 * (n_yes + n_no))
-    model = Model(h[order], value[order], rate_of(value, chances, GAP))
+    model = Model(h[order], value[order], rate_of(value, chances, GAP), 0.0)
+    harmless = texts.filter("label = 0")
+    some, seen = _excesses(harmless, model, with_all=True).agg(F.count_if(F.col("_excess") > CLEAN), F.sum(F.exp(-F.least(F.lit(300.0), F.col("_best"))))).first()
+    model.log_k = log_k_of(some, seen)
     got = _excesses(texts, model).select("label", F.col("_excess").alias("excess")).toPandas()
     texts.unpersist()
     x, y = got["excess"].to_numpy(float), got["label"].to_numpy(float)
@@ -221,39 +237,50 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> tuple[float,
     return (float(a), float(b)) if a > 0 else (0.0, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))))
 
 
-def _excesses(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
-    """docs (without text unless kept) with _excess and _passages, the byte ranges and excesses of significant segments."""
-    ordered = docs.select(*[c for c in docs.columns if c != "text"], "text")
+def _excesses(docs: DataFrame, model: Model, keep_text: bool = False, with_all: bool = False) -> DataFrame:
+    """docs (without text unless kept) with excess, the best segment's own excess and the byte ranges and excesses of
+    significant segments, under three names that docs doesn't use (see _added). `with_all` gives texts without a positive
+    token the best excess of an empty segment, 0 tokens counting as 1."""
+    ordered = docs.select(*[c for c in docs.columns if c != "text"], F.col("text").cast("string").alias("text"))
     kept = len(ordered.columns) - (not keep_text)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("excess", pa.float64())]))
+    names = _added(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve = model.sieve()
         for batch in batches:
             excess = np.full(len(batch), CLEAN)
+            best = np.zeros(len(batch))
             spans: list[list] = [[] for _ in range(len(batch))]
-            for lo, _, data, offsets in blocks(batch.column(batch.num_columns - 1)):
+            for lo, hi, data, offsets in blocks(batch.column(batch.num_columns - 1)):
+                if with_all:
+                    best[lo:hi] = -model.log_k - np.log(np.maximum(np.diff(tokens(data, offsets)[3]), 1))
                 for d, _, found in passages(model, sieve, data, offsets):
                     excess[lo + d] = max(CLEAN + 1, excess_of(found))
+                    best[lo + d] = max(x for _, _, x in found)
                     spans[lo + d] = [{"start": a, "stop": b, "excess": x} for a, b, x in found if x > 0]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(excess), pa.array(spans, kind)], [*batch.schema.names[:kept], "_excess", "_passages"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(excess), pa.array(best), pa.array(spans, kind)], [*batch.schema.names[:kept], *names])
 
-    more = StructType.fromDDL("_excess double, _passages array<struct<start:long,stop:long,excess:double>>")
+    more = StructType.fromDDL(f"{names[0]} double, {names[1]} double, {names[2]} array<struct<start:long,stop:long,excess:double>>")
     return ordered.mapInArrow(run, StructType([*ordered.schema.fields[:kept], *more.fields]))
 
 
-def _score(model: Model) -> Column:
-    raw = F.lit(model.slope) * F.least(F.lit(20.0), F.greatest(F.lit(-10.0), F.col("_excess"))) + F.lit(model.shift)
+def _added(docs: DataFrame) -> list[str]:
+    return [unused(docs.columns, n) for n in ("_excess", "_best", "_passages")]
+
+
+def _score(model: Model, excess: Column) -> Column:
+    raw = F.lit(model.slope) * F.least(F.lit(20.0), F.greatest(F.lit(-10.0), excess)) + F.lit(model.shift)
     curve = 1 / (1 + F.exp(-F.least(F.lit(30.0), F.greatest(F.lit(-30.0), raw))))
-    return F.when(F.col("_excess") > CLEAN, curve).otherwise(model.clean)
+    return F.when(excess > CLEAN, curve).otherwise(model.clean)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score, excess, passages) of every whole text; null and blank texts have the score of a text without a toxic token. Repeated rows stay."""
-    found = _excesses(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model)
-    return found.select("doc_id", _score(model).alias("score"), F.col("_excess").alias("excess"), F.col("_passages").alias("passages"))
+    """(doc_id, score, excess, passages) of every whole text; null and blank texts have the score of a text without a toxic token. Repeated rows stay, no rows give none."""
+    found = _excesses(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
+    return found.select("doc_id", _score(model, F.col("_excess")).alias("score"), F.col("_excess").alias("excess"), F.col("_passages").alias("passages"))
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs whose score is below the threshold, with all their columns."""
-    return _excesses(docs, model, keep_text=True).filter(_score(model) < threshold).select(docs.columns)
+    """The rows of docs whose score is below the threshold, with all their columns in their order, whatever their names."""
+    return _excesses(docs, model, keep_text=True).filter(_score(model, F.col(_added(docs)[0])) < threshold).select(docs.columns)
