@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ._shared import unused
 from .labelled import sample
 from .textbatch import Hasher, blocks, lower_latin, mix
 from .textstats import Structure
@@ -128,9 +129,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: Column, most: int = 5_000) ->
     )
 
 
-def _scored(docs: DataFrame, machine: Machine, keep_text: bool) -> DataFrame:
-    """docs (without text unless kept) with _score."""
-    ordered = docs.select(*[c for c in docs.columns if c != "text"], "text")
+def _scored(docs: DataFrame, machine: Machine, name: str, keep_text: bool) -> DataFrame:
+    """docs (without text unless kept) with their score as column `name`."""
+    ordered = docs.select(*[c for c in docs.columns if c != "text"], F.col("text").cast("string").alias("text"))
     kept = len(ordered.columns) - (not keep_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,17 +139,17 @@ def _scored(docs: DataFrame, machine: Machine, keep_text: bool) -> DataFrame:
             for lo, hi, data, offsets in blocks(batch.column(batch.num_columns - 1)):
                 logit = machine.logits(*inputs(data, offsets))
                 score = pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:kept]), score], [*batch.schema.names[:kept], "_score"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:kept]), score], [*batch.schema.names[:kept], name])
 
-    return ordered.mapInArrow(run, StructType([*ordered.schema.fields[:kept], StructField("_score", DoubleType())]))
+    return ordered.mapInArrow(run, StructType([*ordered.schema.fields[:kept], StructField(name, DoubleType())]))
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """(doc_id, score) of every whole text; a null text counts as empty and is scored like one. Repeated rows stay."""
-    found = _scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), machine, False)
-    return found.withColumnRenamed("_score", "score")
+    """(doc_id, score) of every whole text; a null text counts as empty and is scored like one. Repeated rows stay, no rows give none."""
+    return _scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), machine, "score", False)
 
 
 def of_quality(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs whose score reaches the threshold, with all their columns."""
-    return _scored(docs, machine, True).filter(F.col("_score") >= threshold).select(docs.columns)
+    """The rows of docs whose score reaches the threshold, with all their columns in their order, whatever their names."""
+    name = unused(docs.columns, "_score")
+    return _scored(docs, machine, name, True).filter(F.col(name) >= threshold).select(docs.columns)
