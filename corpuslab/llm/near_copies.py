@@ -1,7 +1,9 @@
-"""Near copies: documents whose sets of word shingles have a Jaccard similarity of `SIMILAR` or more, checked exactly.
+"""Near copies: SimHash links and shared minima give candidates, exact Jaccard similarity of word shingles decides.
 
-Candidates share one of `BANDS` keys, each of `ROWS` minima of the set's hashes under shared random functions. A pair of
-similarity j shares a key with probability 1 - (1 - j**ROWS)**BANDS: all but 4 in a million at 0.8. Equal sets are one
+Documents whose SimHash fingerprints (simhash.py, over the same shingles) lie within `DISTANCE` bits are candidates by
+the grid join. At a similarity of 0.8 fingerprints differ in some 10 bits, beyond any grid's reach, so the rest of the
+candidates share one of `BANDS` keys, each of `ROWS` minima of the set's hashes under shared random functions: a pair of
+similarity j shares a key with probability 1 - (1 - j**ROWS)**BANDS, all but 4 in a million at 0.8. Equal sets are one
 node. The candidates of a key are first held against the key's least node; after the links that this gives, only pairs of
 different components are left to test, so a large group of copies costs its size and not its square. A parity sketch of
 512 bits, whose Hamming distance never exceeds the sets' difference, rejects before texts move.
@@ -16,14 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import durable, width
+from ._shared import durable, lookup, width
 from .components import connected_components
-from .simhash import shingles_of
+from .simhash import links, majority, shingles_of
 from .textbatch import blocks, mix
 from .xxh import xxh64
 
 _U = np.uint64
 BANDS, ROWS = 24, 4
+DISTANCE = 3
 SIMILAR = (4, 5)
 SKETCH = [f"s{k}" for k in range(8)]
 CELL_MOST = 1 << 14
@@ -33,10 +36,14 @@ _FACTOR = (_rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)) | np.uint32
 _TERM = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 
 
-def sets_of(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the distinct shingles of each document of a block in ascending order, offsets of documents in them)."""
+def hashes_of(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the shingles of each document of a block, repeats included, how many each has)."""
     joined, first, last, n = shingles_of(data, offsets, shingle)
-    h = xxh64(joined, first, last, 42) if len(first) else np.zeros(0, _U)
+    return (xxh64(joined, first, last, 42) if len(first) else np.zeros(0, _U)), n
+
+
+def sets_of(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct hashes of each document in ascending order, offsets of documents in them)."""
     doc = np.repeat(np.arange(len(n)), n)
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
@@ -46,12 +53,14 @@ def sets_of(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.nda
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, a, b, n, s0..s7, bands): the set's digest, its size, its parity sketch and its keys; an empty set has no keys."""
+    """(doc_id, a, b, n, fp, s0..s7, bands): the set's digest, its size, the SimHash fingerprint, the parity sketch and its keys; an empty set has no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in blocks(batch.column(1)):
-                h, of = sets_of(data, offsets, shingle)
+                every, repeats = hashes_of(data, offsets, shingle)
+                fp = majority(every, repeats)
+                h, of = sets_of(every, repeats)
                 rows, n = hi - lo, np.diff(of)
                 some = np.flatnonzero(n)
                 cuts = of[some]
@@ -70,11 +79,11 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 sketch = np.packbits(parity.astype(np.uint8), axis=1).view(np.int64)
                 bands = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(n > 0, BANDS, 0)))).astype(np.int32)), pa.array(keys[some].ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, rows), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n.astype(np.int64)), *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(8)), bands],
-                    ["doc_id", "a", "b", "n", *SKETCH, "bands"],
+                    [batch.column(0).slice(lo, rows), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(fp.view(np.int64)), *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(8)), bands],
+                    ["doc_id", "a", "b", "n", "fp", *SKETCH, "bands"],
                 )
 
-    schema = "doc_id long, a long, b long, n long, " + ", ".join(f"{s} long" for s in SKETCH) + ", bands array<long>"
+    schema = "doc_id long, a long, b long, n long, fp long, " + ", ".join(f"{s} long" for s in SKETCH) + ", bands array<long>"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
@@ -107,7 +116,7 @@ def similar(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
             us, parts, vs = (batch.column(k).to_pylist() for k in range(3))
             found = set()
             for lo, hi, data, offsets in blocks(batch.column(3)):
-                h, of = sets_of(data, offsets, shingle)
+                h, of = sets_of(*hashes_of(data, offsets, shingle))
                 for r in range(lo, hi):
                     own = h[of[r - lo] : of[r - lo + 1]]
                     if at != (us[r], parts[r]):
@@ -188,20 +197,24 @@ def components(docs: DataFrame, shingle: int = 5) -> DataFrame:
     an equal set (null if there is none).
     """
     found = durable(signatures(docs, shingle), "signatures")
-    own = found.groupBy("a", "b", "n").agg(F.min("doc_id").alias("node")).filter("node is not null")
-    nodes = found.join(own, ["a", "b", "n"]).filter("doc_id = node").dropDuplicates(["node", "a", "b", "n"])
-    nodes = durable(nodes.select("node", "n", *SKETCH, "bands"), "nodes")
+    facts = [F.min_by(F.struct("fp", *SKETCH, "bands"), "doc_id").alias("of")]
+    own = found.filter("doc_id is not null").groupBy("a", "b", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), *facts)
+    own = durable(own.select("a", "b", "n", "copies", "node", "of.*"), "nodes")
+    nodes = own.select("node", "n", "fp", *SKETCH, "bands")
+    prints = durable(nodes.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("size")), "prints")
+    near = links(prints.select("fp", "node"), DISTANCE)
+    same = lookup(nodes.select("fp", F.col("node").alias("v")), prints.filter("size > 1"), ["fp"], "size").filter("node <> v").select(F.col("node").alias("u"), "v")
     rows = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     heads = rows.groupBy("band", "key").agg(F.min("node").alias("head"), F.count("*").alias("size")).filter("size > 1")
-    members = durable(rows.join(heads, ["band", "key"]), "members")
-    star = members.filter("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct()
-    star = durable(_likely(star, nodes), "pairs")
+    members = durable(lookup(rows, heads, ["band", "key"], "size"), "members")
+    star = members.filter("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v"))
+    star = durable(_likely(star.union(same).union(near).distinct(), nodes), "pairs")
     edges = durable(similar(star, docs, shingle), "edges")
     # what the stars leave: cells that hold several components
     groups = connected_components(edges)
     left = members.filter((F.col("size") > 2) & (F.col("node") != F.col("head"))).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     cells = left.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band", "key")
-    left = left.join(cells, ["band", "key"]).join(nodes.drop("bands"), "node")
+    left = left.join(cells, ["band", "key"]).join(nodes.drop("bands", "fp"), "node")
     parts = F.ceil(F.col("size") * 2 / F.lit(CELL_MOST)).cast("int")
     dealt = F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int")
     both = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(j, F.col("own")) * F.col("parts") + F.greatest(j, F.col("own")))
@@ -209,16 +222,16 @@ def components(docs: DataFrame, shingle: int = 5) -> DataFrame:
     left = left.filter(F.col("size") <= CELL_MOST).withColumn("part", F.lit(0)).unionByName(hot)
     across = durable(_across(left), "pairs")
     edges = edges.union(similar(across, docs, shingle))
-    classes = own.join(connected_components(edges), "node", "left").select("a", "b", "n", F.coalesce("component", "node").alias("component_id"))
-    return found.join(classes, ["a", "b", "n"], "left").select("doc_id", "component_id")
+    classes = own.select("a", "b", "n", "copies", "node").join(connected_components(edges), "node", "left").select("a", "b", "n", "copies", F.coalesce("component", "node").alias("component_id"))
+    return lookup(found.select("doc_id", "a", "b", "n"), durable(classes, "classes"), ["a", "b", "n"], "copies", "left").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """docs without near copies: of each component the row with the smallest doc_id stays, one row if it is repeated. Rows without doc_id stay."""
+    """docs without near copies: of each component the row with the smallest doc_id stays, one row if it is repeated. Rows without doc_id stay, no rows give none; all columns stay in their order, whatever their names."""
     found = durable(components(docs, shingle), "components")
     gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
     repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
     if repeated.isEmpty():
-        return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+        return kept.select(docs.columns)
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null")).select(docs.columns)

@@ -3,9 +3,10 @@
 A fingerprint of 64 bits is embedded as the popcounts of its 32 two-bit segments. The Manhattan distance of two
 embeddings is at most the Hamming distance of the fingerprints, so two fingerprints within `distance` bits differ in at
 most that many segments. The segments form twice as many groups as that; by the pigeonhole principle, embeddings that
-are near agree wholly in at least half of the groups. The grid's cells are the popcounts of half of the groups; two near
-fingerprints meet in at least one cell. Inside a cell the Manhattan distance rejects first, then the Hamming distance
-decides.
+are near agree wholly in at least half of the groups. The grid's cells are the popcounts of half of the groups, split by
+these groups' bits: differing bits touch no more groups than differing segments do, so two near fingerprints still meet in
+at least one cell, and strangers hardly ever. Inside a cell the Manhattan distance rejects first, then the Hamming
+distance decides.
 
 Only distinct fingerprints are joined, a cell gives a spanning forest rather than all its pairs, and a cell of more than
 `CELL_MOST` fingerprints is dealt out as pairs of its parts, so that a large group of copies never becomes one task's
@@ -22,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import durable, width
+from ._shared import durable, lookup, width
 from .components import connected_components
-from .textbatch import blocks, lower_ascii, words
+from .textbatch import blocks, lower_ascii, mix, words
 from .xxh import xxh64
 
 _U = np.uint64
@@ -62,26 +63,29 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int, seeds:
     n_docs = len(offsets) - 1
     if not len(first):
         return [np.zeros(n_docs, _U) for _ in seeds]
-    s_of = np.concatenate(([0], np.cumsum(n_shingles)))
+    return [majority(xxh64(joined, first, last, seed), n_shingles) for seed in seeds]
+
+
+def majority(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each run of n[i] hashes the bits that over half of them have set; 0 for an empty run."""
+    out = np.zeros(len(n), _U)
+    some = np.flatnonzero(n)
+    if not len(some):
+        return out
+    of = np.concatenate(([0], np.cumsum(n)))
     # byte-wide counters, eight a word, over runs of at most 255
-    some = np.flatnonzero(n_shingles)
-    pieces = -(-n_shingles[some] // 255)
+    pieces = -(-n[some] // 255)
     p_of = np.concatenate(([0], np.cumsum(pieces)))
     piece_doc = np.repeat(np.arange(len(some)), pieces)
-    cuts = s_of[some][piece_doc] + 255 * (np.arange(p_of[-1]) - p_of[piece_doc])
-    found = []
-    for seed in seeds:
-        h = xxh64(joined, first, last, seed)
-        out = np.zeros(n_docs, _U)
-        for bit in range(8):
-            plane = (h >> _U(bit)) & _U(0x0101010101010101)
-            counts = np.add.reduceat(plane, cuts).view(np.uint8).reshape(-1, 8).astype(np.int64)
-            votes = np.add.reduceat(counts, p_of[:-1], axis=0)
-            on = (2 * votes > n_shingles[some][:, None]).astype(_U)
-            for byte in range(8):
-                out[some] |= on[:, byte] << _U(8 * byte + bit)
-        found.append(out)
-    return found
+    cuts = of[some][piece_doc] + 255 * (np.arange(p_of[-1]) - p_of[piece_doc])
+    for bit in range(8):
+        plane = (h >> _U(bit)) & _U(0x0101010101010101)
+        counts = np.add.reduceat(plane, cuts).view(np.uint8).reshape(-1, 8).astype(np.int64)
+        votes = np.add.reduceat(counts, p_of[:-1], axis=0)
+        on = (2 * votes > n[some][:, None]).astype(_U)
+        for byte in range(8):
+            out[some] |= on[:, byte] << _U(8 * byte + bit)
+    return out
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (42,)) -> DataFrame:
@@ -126,21 +130,18 @@ def _near(fp: np.ndarray, e: np.ndarray, i, j, distance: int) -> np.ndarray:
 
 
 def _forest(fp: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
-    """Edges that span each component among these fingerprints; a found one leaves the list, so dense groups end early.
-
-    The exact distance is two operations on the words that are left, fewer than the lower bound takes, so it goes first.
-    """
-    left, words = np.arange(len(fp)), fp
+    """Edges that span each component among these fingerprints; a found one leaves the list, so dense groups end early."""
+    e, left = embedding(fp), np.arange(len(fp))
     while len(left):
-        queue, left, words = [int(left[0])], left[1:], words[1:]
+        queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = np.bitwise_count(words ^ fp[at]) <= distance
-            found = left[near]
-            if len(found):
-                yield from ((at, x) for x in found.tolist())
-                queue.extend(found.tolist())
-                left, words = left[~near], words[~near]
+            near = _near(fp, e, left, at, distance)
+            found = left[near].tolist()
+            if found:
+                yield from ((at, x) for x in found)
+                queue.extend(found)
+                left = left[~near]
 
 
 def _edges(table: pa.Table, distance: int) -> pa.RecordBatch:
@@ -176,10 +177,11 @@ def links(classes: DataFrame, distance: int = 3) -> DataFrame:
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            e = embedding(batch.column(0).to_numpy(zero_copy_only=False).view(_U))
+            fp = batch.column(0).to_numpy(zero_copy_only=False).view(_U)
+            e = embedding(fp)
             seed = batch.column(2).to_numpy(zero_copy_only=False) * len(masks)
             for k, mask in enumerate(masks):
-                yield pa.RecordBatch.from_arrays([pa.array((seed + k).astype(np.int32)), pa.array((e & mask).view(np.int64)), batch.column(0), batch.column(1)], ["choice", "cell", "fp", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array((seed + k).astype(np.int32)), pa.array(mix(mix(e & mask) ^ (fp & mask)).view(np.int64)), batch.column(0), batch.column(1)], ["choice", "cell", "fp", "node"])
 
     rows = classes.select("fp", "node", "seed").mapInArrow(cells, "choice int, cell long, fp long, node long")
     counts = rows.groupBy("choice", "cell").count().filter(F.col("count") > 1)
@@ -221,7 +223,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] =
     """
     found = durable(fingerprints(docs, shingle, seeds), "fingerprints")
     names = found.columns[1:]
-    classes = found.groupBy(*names).agg(F.min("doc_id").alias("node")).filter("node is not null")
+    classes = durable(found.groupBy(*names).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")).filter("node is not null"), "classes")
     each = F.posexplode(F.array(*names)).alias("seed", "fp")
     flat = classes.select("node", each)
     own = flat.groupBy("seed", "fp").agg(F.min("node").alias("node"))
@@ -230,15 +232,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] =
         first = own.withColumnRenamed("node", "v")
         edges = edges.union(flat.join(first, ["seed", "fp"]).filter("node <> v").select(F.col("node").alias("u"), "v"))
     groups = connected_components(edges)
-    classes = classes.join(groups, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
-    return found.join(classes, names, "left").select("doc_id", F.col(names[0]).alias("fp"), "component_id")
+    classes = classes.join(groups, "node", "left").select(*names, "copies", F.coalesce("component", "node").alias("component_id"))
+    return lookup(found, durable(classes, "classes"), names, "copies", "left").select("doc_id", F.col(names[0]).alias("fp"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, seeds: tuple[int, ...] = tuple(range(42, 50)), distance: int = 3) -> DataFrame:
-    """docs without near duplicates: of each component the row with the smallest doc_id stays, one row if it is repeated. Rows without doc_id stay."""
+    """docs without near duplicates: of each component the row with the smallest doc_id stays, one row if it is repeated. Rows without doc_id stay; all columns stay in their order."""
     found = near_duplicates(docs, shingle, seeds, distance)
     gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
     if repeated.isEmpty():
         return kept
