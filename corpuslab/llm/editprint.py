@@ -8,13 +8,16 @@ The walk covers the whole text, whatever its length. Likeness weighs each sample
 
 Bands of sampled bits find candidates for near duplicates; likeness verifies them. `BANDS` bands take `BAND_BITS` bits
 each of a fingerprint's last `TOP` levels, which hold most of its weight. Of a level that differs in d of 64 bits a band
-is equal with probability (64 - BAND_BITS over d) / (64 over d).
+is equal with probability (64 - BAND_BITS over d) / (64 over d). A walk that ends inside its last level leaves the rest of
+that level's bits at 0; a band takes part only if `LEAST_BITS` of its bits lie before the walk's end (all of them where a
+text's first level is all it has), or texts that have nothing but such zeros in common would meet.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ _U = np.uint64
 PERIOD_BITS = 12
 SAMPLES = 64
 BLOCK = 3 << 20
-BANDS, BAND_BITS, TOP = 16, 20, 4
+BANDS, BAND_BITS, LEAST_BITS, TOP = 16, 20, 18, 4
 CELL_MOST = 1 << 13
 SMALL, FAR = 64, 16
 FEW = 48  # this many walks or fewer advance one by one
@@ -282,12 +285,22 @@ def compared_with_next(docs: DataFrame) -> DataFrame:
     return ordered.select("doc_id", "text", "extra").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
+@cache
 def _bands() -> np.ndarray:
     """The mask of each band's bits."""
     chosen = np.argsort(mix(np.arange(BANDS * SAMPLES, dtype=_U) + _U(0xBA4D)).reshape(BANDS, SAMPLES), axis=1)[:, :BAND_BITS]
     return np.bitwise_or.reduce(_U(1) << chosen.astype(_U), axis=1)
 
 
+def _whole_bands(level: int, total: int) -> np.ndarray:
+    """The bands that a walk of `total` steps has on this level."""
+    inside = int(np.searchsorted(_STEPS(level), total, "left"))
+    if inside >= SAMPLES or level == 0:
+        return np.arange(BANDS)
+    known = (_U(1) << _U(inside)) - _U(1)
+    return np.flatnonzero(np.bitwise_count(_bands() & known) >= LEAST_BITS)
+
+
 def _matrix(prints: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(bits, a row a fingerprint and a column a level, missing ones 0; steps)."""
     parsed = [parse(p) for p in prints]
@@ -364,12 +377,19 @@ def with_classes(found: DataFrame, least: float = 0.8) -> DataFrame:
             node, prints = batch.column(1).to_numpy(), batch.column(0).to_pylist()
             cells, nodes, which, words = [], [], [], []
             for p, d in zip(prints, node.tolist(), strict=True):
-                bits, _ = parse(p)
-                for level in range(max(0, len(bits) - TOP), len(bits)):
-                    cells.append(bits[level] & masks)
-                    which.append(np.arange(BANDS) + level * BANDS)
-                    nodes.append(np.full(BANDS, d))
-                    words.append(np.full(BANDS, bits[level]))
+                bits, total = parse(p)
+                used = 0
+                for level in reversed(range(len(bits))):
+                    k = _whole_bands(level, total)
+                    if not len(k):
+                        continue
+                    cells.append(bits[level] & masks[k])
+                    which.append(k + level * BANDS)
+                    nodes.append(np.full(len(k), d))
+                    words.append(np.full(len(k), bits[level]))
+                    used += 1
+                    if used == TOP:
+                        break
             if cells:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(which).astype(np.int32)), pa.array(np.concatenate(cells).view(np.int64)), pa.array(np.concatenate(nodes).astype(np.int64)), pa.array(np.concatenate(words).view(np.int64))], ["band", "cell", "node", "word"])
 
