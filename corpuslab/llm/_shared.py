@@ -57,7 +57,7 @@ def lookup(rows: DataFrame, facts: DataFrame, keys: list[str], size: str, how: s
     hot = facts.orderBy(F.desc(size), *keys).limit(HOT_KEYS)
     marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
     taken = marked.filter("_hot").drop("_hot")
-    others = marked.filter("_hot is null").select(*rows.columns).join(facts.join(F.broadcast(hot.select(*keys)), keys, "left_anti"), keys, how)
+    others = marked.filter("_hot is null").select(*rows.columns).join(facts, keys, how)
     return taken.unionByName(others)
 
 
