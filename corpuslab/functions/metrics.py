@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
+from . import overlap
 from . import text as T
 from .fixed import CHAT_ARTIFACTS, LEAKAGE_WORDS
 
@@ -20,7 +18,7 @@ def _ratio(a: Column, b: Column) -> Column:
 
 def token_overlap(hyp: Column, ref: Column) -> Column:
     """Tokens in common, with their multiplicities."""
-    return T.common(hyp, ref)
+    return overlap.common(hyp, ref)
 
 
 def token_f1(hyp: Column, ref: Column) -> Column:
@@ -93,44 +91,38 @@ def entity_preservation(hyp: Column, source: Column) -> Column:
     return F.when(F.size(found) == 0, 1.0).otherwise(kept / F.size(found))
 
 
-def _windows(items, n: int) -> Counter:
-    return Counter(tuple(items[k : k + n]) for k in range(len(items) - n + 1))
-
-
-def _mean_f2(hyp: str, ref: str, most: int = 6) -> float:
-    total = 0.0
-    for n in range(1, most + 1):
-        a, b = (Counter({(t,): 1}) if t and len(t) < n else _windows(t, n) for t in (hyp, ref))
-        both = sum((a & b).values())
-        if both:
-            p, r = both / sum(a.values()), both / sum(b.values())
-            total += 5 * p * r / (4 * p + r)
-    return total / most
-
-
-@F.pandas_udf(DoubleType())
-def _chrf(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-    return pd.Series([_mean_f2(a, b) for a, b in zip(hyp, ref, strict=True)])
-
-
 def fast_chrf(hyp: Column, ref: Column) -> Column:
     """Mean F2 of character n-grams for n = 1 to 6, of normalised lower-case text; a shorter text is its own n-gram."""
-    return _chrf(F.lower(T.normalize_space(hyp)), F.lower(T.normalize_space(ref)))
+    a, b = (F.lower(T.normalize_space(c)) for c in (hyp, ref))
+    stats = overlap.letter_stats(a, b)
 
+    def f2(n: int) -> Column:
+        # a text of fewer than n characters is one n-gram, which only an equal text shares
+        short_a, short_b = ((F.char_length(c) > 0) & (F.char_length(c) < n) for c in (a, b))
+        x, y, both = (F.get(stats, F.lit(3 * (n - 1) + k)) for k in range(3))
+        x, y = F.when(short_a, 1).otherwise(x), F.when(short_b, 1).otherwise(y)
+        both = F.when(short_a | short_b, (short_a & short_b & (a == b)).cast("int")).otherwise(both)
+        p, r = both / F.greatest(x, F.lit(1)), both / F.greatest(y, F.lit(1))
+        return F.when(both > 0, 5.0 * p * r / (4.0 * p + r)).otherwise(0.0)
 
-@F.pandas_udf(DoubleType())
-def _mean_precision(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-    out = []
-    for a, b in zip(hyp, ref, strict=True):
-        grams = [(_windows(list(a), n), _windows(list(b), n)) for n in range(1, 5)]
-        out.append(sum(sum((x & y).values()) / sum(x.values()) for x, y in grams if x) / 4)
-    return pd.Series(out, dtype=float)
+    return reduce(lambda x, y: x + y, [f2(n) for n in range(1, 7)]) / 6.0
 
 
 def fast_bleu(hyp: Column, ref: Column) -> Column:
     """Mean n-gram precision for n = 1 to 4 times the length ratio up to 1, of token arrays."""
+    stats = overlap.item_stats(hyp, ref)
+    parts = [F.when(F.get(stats, F.lit(3 * n)) > 0, F.get(stats, F.lit(3 * n + 2)) / F.get(stats, F.lit(3 * n))).otherwise(0.0) for n in range(4)]
     short = F.least(F.lit(1.0), F.size(hyp) / F.greatest(F.size(ref), F.lit(1)))
-    return F.when((F.size(hyp) > 0) & (F.size(ref) > 0), _mean_precision(hyp, ref) * short).otherwise(0.0)
+    return F.when((F.size(hyp) > 0) & (F.size(ref) > 0), reduce(lambda x, y: x + y, parts) / 4.0 * short).otherwise(0.0)
+
+
+def sentence_chrf(hyp: Column, ref: Column) -> Column:
+    """Character F-score with word pairs, from 0 to 1."""
+    return overlap.chrf_of(overlap.chrf_stats(hyp, ref))
+
+
+def sentence_bleu(hyp: Column, ref: Column) -> Column:
+    return overlap.bleu_of(overlap.bleu_stats(hyp, ref))
 
 
 def severity_penalty(hyp: Column, ref: Column, source: Column, chrf: Column, f1: Column, length: Column, hyp_tokens: Column, source_tokens: Column) -> Column:

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from .fixed import LEAKAGE_WORDS, QUECHUA_ENDINGS, QUECHUA_SIGNAL, SPACE, SPANISH_SIGNAL
 
@@ -73,9 +69,3 @@ def ngrams(tokens: Column, n: int) -> Column:
     """Joined windows of n tokens; none if there are fewer."""
     count = F.size(tokens) - (n - 1)
     return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
-
-
-@F.pandas_udf(IntegerType())
-def common(a: pd.Series, b: pd.Series) -> pd.Series:
-    """How many items two arrays share, with multiplicities. Arrow batches: built-in functions need a scan of one array for each item of the other."""
-    return pd.Series([sum((Counter(x) & Counter(y)).values()) if x is not None and y is not None else 0 for x, y in zip(a, b, strict=True)], dtype="int32")

@@ -21,10 +21,14 @@ cnt AS (SELECT conv_id, candidate_index, t, count(*) AS c FROM (SELECT conv_id,
 com AS (SELECT a.conv_id, a.candidate_index, b.candidate_index AS peer, sum(least(a.c, b.c)) AS common FROM cnt a JOIN cnt b ON a.conv_id = b.conv_id AND a.t = b.t GROUP BY ALL),
 pr AS (SELECT ov.*, CASE WHEN n > 0 AND m > 0 THEN 2.0 * coalesce(common, 0) / (n + m) ELSE 0 END AS f1, CASE WHEN n > 0 AND m > 0 THEN coalesce(common, 0) * 1.0 / n ELSE 0 END AS prec,
   max(differs::INT) OVER (PARTITION BY ov.conv_id, ov.candidate_index) AS any_differs FROM ov LEFT JOIN com ON ov.conv_id = com.conv_id AND ov.candidate_index = com.candidate_index AND ov.peer = com.peer),
-ut AS (SELECT conv_id, candidate_index, (2 * avg(f1) + avg(prec)) / 3 AS utility, count(*) AS peers FROM pr WHERE differs OR any_differs = 0 GROUP BY ALL),
+lg AS (@GRAMS@), lc AS (SELECT conv_id, candidate_index, ord, g, count(*) AS c FROM lg GROUP BY ALL), lt AS (SELECT conv_id, candidate_index, ord, sum(c) AS total FROM lc GROUP BY ALL),
+lm AS (SELECT a.conv_id, a.candidate_index, b.candidate_index AS peer, a.ord, sum(least(a.c, b.c)) AS m FROM lc a JOIN lc b ON a.conv_id = b.conv_id AND a.ord = b.ord AND a.g = b.g GROUP BY ALL),
+ch AS (SELECT a.conv_id, a.candidate_index, b.candidate_index AS peer, @F@ AS chrf FROM lt a JOIN lt b ON a.conv_id = b.conv_id AND a.ord = b.ord LEFT JOIN lm ON lm.conv_id = a.conv_id AND lm.candidate_index = a.candidate_index AND lm.peer = b.candidate_index AND lm.ord = a.ord GROUP BY ALL),
+ut AS (SELECT pr.conv_id, pr.candidate_index, 0.55 * avg(coalesce(chrf, 0)) + 0.30 * avg(f1) + 0.15 * avg(prec) AS utility, avg(coalesce(chrf, 0)) AS chrf, avg(f1) AS f1, avg(prec) AS precision, count(*) AS peers FROM pr LEFT JOIN ch ON ch.conv_id = pr.conv_id AND ch.candidate_index = pr.candidate_index AND ch.peer = pr.peer WHERE differs OR any_differs = 0 GROUP BY ALL),
 med AS (SELECT *, greatest(0.0, 1.0 - abs(ln(greatest(n_tokens, 1) / greatest(median(greatest(n_tokens, 1)) OVER (PARTITION BY conv_id), 1.0)))) AS length_consensus FROM sig),
-mbr AS (SELECT med.*, utility, peers, utility + 0.08 * length_consensus - 0.28 * copied - 0.32 * leak - 0.30 * artifacts - 0.14 * repeated - CASE WHEN exact THEN 0.30 ELSE 0 END AS raw FROM med JOIN ut ON med.conv_id = ut.conv_id AND med.candidate_index = ut.candidate_index),
+mbr AS (SELECT med.*, utility, chrf, f1, precision, peers, utility + 0.08 * length_consensus - 0.28 * copied - 0.32 * leak - 0.30 * artifacts - 0.14 * repeated - CASE WHEN exact THEN 0.30 ELSE 0 END AS raw FROM med JOIN ut ON med.conv_id = ut.conv_id AND med.candidate_index = ut.candidate_index),
 scored AS (SELECT *, round(raw, 6) AS mbr_score FROM mbr)"""
+_F1 = _F1.replace("@GRAMS@", S.letter_grams("conv_id, candidate_index", "prediction", "sig", "p")).replace("@F@", S.f_score("a.total", "b.total", "coalesce(m, 0)"))
 _MBR = f"{_SIG}, {_F1}"
 
 
@@ -130,11 +134,11 @@ def w4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "p10_pseudo_labels",
-    f"{_MBR}, r AS (SELECT *, row_number() OVER w AS r, lead(mbr_score) OVER w AS nxt, count(*) OVER (PARTITION BY conv_id) AS n FROM scored WINDOW w AS (PARTITION BY conv_id ORDER BY mbr_score DESC, candidate_index)) SELECT conv_id, candidate_index FROM r WHERE r = 1 AND n >= 3 AND coalesce(mbr_score - nxt, 0) >= 0.002 AND copied <= 0.6 AND leak <= 0.2 AND artifacts <= 0.1 AND NOT exact",
+    f"{_MBR}, r AS (SELECT *, row_number() OVER w AS r, lead(mbr_score) OVER w AS nxt, count(*) OVER (PARTITION BY conv_id) AS n FROM scored WINDOW w AS (PARTITION BY conv_id ORDER BY mbr_score DESC, candidate_index)) SELECT conv_id, candidate_index FROM r WHERE r = 1 AND n >= 3 AND mbr_score >= 0.1 AND coalesce(mbr_score - nxt, 0) >= 0.002 AND utility >= 0.12 AND copied <= 0.6 AND leak <= 0.2 AND artifacts <= 0.1 AND NOT exact",
 )
 def p10(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = P.with_margin(scored(spark, sf_dir), _KEY, "mbr_score")
-    sure = (F.col("candidate_count") >= 3) & (F.col("margin") >= 0.002) & (F.col("copied") <= 0.6) & (F.col("leak") <= 0.2) & (F.col("artifacts") <= 0.1) & ~F.col("exact")
+    sure = (F.col("candidate_count") >= 3) & (F.col("mbr_score") >= 0.1) & (F.col("utility") >= 0.12) & (F.col("margin") >= 0.002) & (F.col("copied") <= 0.6) & (F.col("leak") <= 0.2) & (F.col("artifacts") <= 0.1) & ~F.col("exact")
     return m.filter(sure).select("conv_id", _index())
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.fixed import CHAT_ARTIFACTS, FLAG_PENALTIES, HARD_FLAGS, LEAKAGE_WORDS, QUECHUA_ENDINGS, QUECHUA_SIGNAL, SENTENCE_ENDS, SPACE, SPANISH_SIGNAL
+from ..functions.fixed import CHAT_ARTIFACTS, FLAG_PENALTIES, HARD_FLAGS, LEAKAGE_WORDS, PUNCTUATION, QUECHUA_ENDINGS, QUECHUA_SIGNAL, SENTENCE_ENDS, SPACE, SPANISH_SIGNAL
 
 PAIRS = """pairs AS (SELECT a.conv_id, a.turn, a.text AS source, b.text AS target FROM conversations a JOIN conversations b
   ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant')"""
@@ -96,3 +96,34 @@ def pool_signals() -> str:
     """CTEs pool and sig."""
     return f"""WITH {POOL}, tok AS (SELECT *, {tokens('prediction')} AS tokens, {tokens('source')} AS source_tokens, {tokens('reference')} AS reference_tokens FROM pool),
 sig AS (SELECT *, {copied('tokens', 'source_tokens')} AS copied, {leak('tokens')} AS leak, {artifacts('prediction')} AS artifacts, {repeated('tokens')} AS repeated, {exact('prediction', 'source')} AS exact, len(tokens) AS n_tokens FROM tok)"""
+
+
+def split_words(c: str) -> str:
+    marks = "'" + PUNCTUATION.replace("'", "''") + "'"
+    parts = f"CASE WHEN length(w) = 1 THEN [w] WHEN contains({marks}, right(w, 1)) THEN [left(w, length(w) - 1), right(w, 1)] WHEN contains({marks}, left(w, 1)) THEN [left(w, 1), right(w, length(w) - 1)] ELSE [w] END"
+    return f"(CASE WHEN {norm(c)} = '' THEN []::VARCHAR[] ELSE flatten(list_transform(string_split({norm(c)}, ' '), lambda w: {parts})) END)"
+
+
+def evaluation_tokens(c: str) -> str:
+    t = rf"regexp_replace(coalesce({c}, ''), '<skipped>|-\n', '', 'g')"
+    for a, b in (("chr(10)", "' '"), ("'&quot;'", "'\"'"), ("'&amp;'", "'&'"), ("'&lt;'", "'<'"), ("'&gt;'", "'>'")):
+        t = f"replace({t}, {a}, {b})"
+    t = f"(' ' || {t} || ' ')"
+    t = rf"regexp_replace({t}, '([\x20-\x26\x28-\x2B\x2F\x3A-\x40\x5B-\x60\x7B-\x7E])', ' \1 ', 'g')"
+    t = rf"regexp_replace(regexp_replace({t}, '([^0-9])([.,])', '\1 \2 ', 'g'), '([.,])([^0-9])', ' \1 \2', 'g')"
+    t = norm(rf"regexp_replace({t}, '([0-9])(-)', '\1 \2 ', 'g')")
+    return f"(CASE WHEN {t} = '' THEN []::VARCHAR[] ELSE string_split({t}, ' ') END)"
+
+
+def letter_grams(keys: str, text: str, source: str, side: str) -> str:
+    """(keys, side, ord, g) for the orders 1 to 6 of characters without space and 7 to 8 of words."""
+    inner = f"SELECT {keys}, replace({norm(text)}, ' ', '') AS t, {split_words(text)} AS w FROM {source}"
+    chars = [f"SELECT {keys}, '{side}' AS side, {n} AS ord, unnest(list_transform(range(1, length(t) - {n} + 2), lambda i: substring(t, i, {n}))) AS g FROM ({inner})" for n in range(1, 7)]
+    pairs = [f"SELECT {keys}, '{side}' AS side, {6 + n} AS ord, unnest(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i : i + {n - 1}], ' '))) AS g FROM ({inner})" for n in (1, 2)]
+    return " UNION ALL ".join(chars + pairs)
+
+
+def f_score(h: str, r: str, m: str, where: str = "true") -> str:
+    """Aggregate over orders: F2 of mean precision and mean recall over the orders that both sides have."""
+    p, q = (f"coalesce(avg({m} * 1.0 / {x}) FILTER ({h} > 0 AND {r} > 0 AND {where}), 0)" for x in (h, r))
+    return f"CASE WHEN {p} + {q} > 0 THEN 5.0 * {p} * {q} / (4.0 * {p} + {q}) ELSE 0 END"
