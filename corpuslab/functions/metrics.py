@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import overlap
 from . import text as T
-from .fixed import CHAT_ARTIFACTS, LEAKAGE_WORDS
+from .fixed import CHAT_ARTIFACTS, COPIED_STEPS, ENTITY_STEPS, EXACT_COPY_PENALTY, LEAK_STEPS, LEAKAGE_WORDS, LENGTH_STEPS, LOW_OVERLAP_STEPS
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -125,19 +125,36 @@ def sentence_bleu(hyp: Column, ref: Column) -> Column:
     return overlap.bleu_of(overlap.bleu_stats(hyp, ref))
 
 
-def severity_penalty(hyp: Column, ref: Column, source: Column, chrf: Column, f1: Column, length: Column, hyp_tokens: Column, source_tokens: Column) -> Column:
-    """Steps for copying, leakage, low overlap, length, lost entities, then repetition and artifacts; 1 at most."""
-    copied, leak, kept = source_copy_ratio(hyp_tokens, source_tokens), leakage_penalty(hyp_tokens), entity_preservation(hyp, source)
-    steps = [
-        F.when(exact_copy(hyp, source), 0.55).when(copied >= 0.55, 0.35).when(copied >= 0.30, 0.15).otherwise(0.0),
-        F.when(leak >= 0.18, 0.30).when(leak >= 0.08, 0.15).otherwise(leak),
-        F.when((chrf < 0.18) & (f1 < 0.12), 0.35).when((chrf < 0.30) & (f1 < 0.20), 0.18).otherwise(0.0),
-        F.when(length < 0.55, 0.20).when(length < 0.70, 0.10).otherwise(0.0),
-        F.when(kept < 0.5, 0.25).when(kept < 1.0, 0.10).otherwise(0.0),
-        repetition_penalty(hyp_tokens),
-        artifact_penalty(hyp),
+def _steps(value: Column, steps: tuple, other: Column, below: bool = False) -> Column:
+    """The penalty of the first step that the value reaches (or stays below)."""
+    out = None
+    for bound, penalty in steps:
+        test = value < bound if below else value >= bound
+        out = F.when(test, penalty) if out is None else out.when(test, penalty)
+    return out.otherwise(other)
+
+
+def severity_of(chrf: Column, f1: Column, length: Column, copied: Column, exact: Column, leak: Column, entities: Column, repeated: Column, artifacts: Column) -> Column:
+    """Steps for copying, leakage, low overlap, length and lost entities, then repetition and artifacts; 1 at most."""
+    low = None
+    for most_chrf, most_f1, penalty in LOW_OVERLAP_STEPS:
+        test = (chrf < most_chrf) & (f1 < most_f1)
+        low = F.when(test, penalty) if low is None else low.when(test, penalty)
+    parts = [
+        F.when(exact, EXACT_COPY_PENALTY).otherwise(_steps(copied, COPIED_STEPS, F.lit(0.0))),
+        _steps(leak, LEAK_STEPS, leak),
+        low.otherwise(0.0),
+        _steps(length, LENGTH_STEPS, F.lit(0.0), below=True),
+        _steps(entities, ENTITY_STEPS, F.lit(0.0), below=True),
+        repeated,
+        artifacts,
     ]
-    return F.least(F.lit(1.0), reduce(lambda a, b: a + b, steps))
+    return F.least(F.lit(1.0), reduce(lambda a, b: a + b, parts))
+
+
+def severity_penalty(hyp: Column, ref: Column, source: Column, chrf: Column, f1: Column, length: Column, hyp_tokens: Column, source_tokens: Column) -> Column:
+    """severity_of() from texts and their tokens."""
+    return severity_of(chrf, f1, length, source_copy_ratio(hyp_tokens, source_tokens), exact_copy(hyp, source), leakage_penalty(hyp_tokens), entity_preservation(hyp, source), repetition_penalty(hyp_tokens), artifact_penalty(hyp))
 
 
 def rerank_score(chrf: Column, bleu: Column, f1: Column, length: Column, copied: Column, exact: Column, leak: Column, artifacts: Column, repeated: Column) -> Column:

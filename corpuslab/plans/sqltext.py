@@ -127,3 +127,17 @@ def f_score(h: str, r: str, m: str, where: str = "true") -> str:
     """Aggregate over orders: F2 of mean precision and mean recall over the orders that both sides have."""
     p, q = (f"coalesce(avg({m} * 1.0 / {x}) FILTER ({h} > 0 AND {r} > 0 AND {where}), 0)" for x in (h, r))
     return f"CASE WHEN {p} + {q} > 0 THEN 5.0 * {p} * {q} / (4.0 * {p} + {q}) ELSE 0 END"
+
+
+def common(a: str, b: str) -> str:
+    """How many items two lists share, with multiplicities."""
+    return f"coalesce(list_sum(list_transform(list_distinct({a}), lambda x: least(len(list_filter({a}, lambda y: y = x)), len(list_filter({b}, lambda y: y = x))))), 0)"
+
+
+def entities(c: str) -> str:
+    """Distinct numbers and whole words that begin with a capital and hold letters only."""
+    return f"list_distinct(list_concat(regexp_extract_all({c}, '\\b\\d+(?:[.,]\\d+)*\\b'), list_filter(regexp_extract_all({c}, '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[A-ZÁÉÍÓÚÜÑ][A-ZÁÉÍÓÚÜÑa-záéíóúüñ]{{2,}}'))))"
+
+
+def steps(value: str, bounds, other: str, below: bool = False) -> str:
+    return "CASE " + " ".join(f"WHEN {value} {'<' if below else '>='} {b} THEN {p}" for b, p in bounds) + f" ELSE {other} END"

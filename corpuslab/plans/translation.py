@@ -32,6 +32,10 @@ _BLEU = """CASE WHEN max(m) = 0 OR max(h) FILTER (ord = 1) = 0 THEN 0 ELSE exp(l
   * exp(sum(CASE WHEN m > 0 THEN ln(m * 1.0 / h) ELSE -ln(pow(2.0, misses) * h) END) FILTER (h > 0) / count(*) FILTER (h > 0)) END"""
 
 
+CHRF_ROWS = f"{_stats(_BOTH, 8)} SELECT {_KEYS}, {S.f_score('h', 'r', 'm')} AS chrf FROM st GROUP BY ALL"
+BLEU_ROWS = f"{_stats(_WORDS, 4)}, w AS (SELECT *, sum((m = 0)::INT) OVER (PARTITION BY {_KEYS} ORDER BY ord) AS misses FROM st) SELECT {_KEYS}, {_BLEU} AS bleu FROM w GROUP BY ALL"
+
+
 @query("x47_chrf", f"{_stats(_BOTH, 8)} SELECT {_KEYS}, round({S.f_score('h', 'r', 'm')}, 6) AS chrf, round({S.f_score('h', 'r', 'm', 'ord <= 6')}, 6) AS chrf_letters FROM st GROUP BY ALL")
 def x47(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pool(spark, sf_dir).withColumn("s", overlap.chrf_stats(F.col("prediction"), F.col("reference")))
