@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def made(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """Rows of a SELECT in SQL that both engines read; tables stand in braces."""
+    names = {n for _, n, _, _ in Formatter().parse(sql) if n}
+    return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
+
+
+def plain(sql: str) -> str:
+    """The same SELECT for the comparison."""
+    return sql.format(**{n: n for _, n, _, _ in Formatter().parse(sql) if n})
