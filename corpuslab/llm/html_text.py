@@ -16,7 +16,7 @@ from html import unescape
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import durable, lookup
@@ -206,48 +206,65 @@ def _collect(html: str, wanted: str) -> list[tuple[str, list[int], int]]:
     return out
 
 
-def _lost(rule: str) -> Column:
-    """The code points of the blocks that a rule takes."""
-    return F.aggregate(F.filter("blocks", lambda b: b["lost"] == rule), F.lit(0).cast("long"), lambda n, b: n + b["n"])
+_HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
+_BLOCK = pa.struct([("text", pa.string()), ("owners", pa.list_(pa.int64()))])
 
 
-def extract(pages: DataFrame, share: float = 0.1, least: int = 3, many: int = 1000) -> DataFrame:
-    """(page_id, url, text, n_chars, n_template, n_kind, n_outside) of every row of pages.
-
-    A subtree is template if it recurs in at least `least` different regions and in `share` of the host's, or in `many` of
-    them, so that a box of one section of a large host goes too. The last three columns are the code points of the blocks
-    that went as template, by their kind and as outside the region. A null page is empty; a null url is a host of its own;
-    repeated rows stay; no rows give none.
-    """
-    block = pa.struct([("text", pa.string()), ("owners", pa.list_(pa.int64())), ("rule", pa.int8()), ("n", pa.int32())])
+def _parsed(pages: DataFrame) -> DataFrame:
+    """(page_id, url, host, row, region, blocks, dropped, n_kind, n_outside): the blocks that no rule of their page drops with
+    their counted subtrees, the counted subtrees of the others, and the code points that each rule takes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, regions = [], []
+            kept, regions, dropped, taken = [], [], [], {KIND: [], OUTSIDE: []}
             for html in batch.column(2).to_pylist():
                 blocks, region = parse_body(html or "")
-                found.append([{"text": t if rule == KEEP else None, "owners": o, "rule": rule, "n": len(t)} for t, o, rule in blocks])
+                kept.append([{"text": t, "owners": owners} for t, owners, rule in blocks if rule == KEEP])
+                dropped.append(sorted({h for _, owners, rule in blocks if rule != KEEP for h in owners}))
                 regions.append(region)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(regions, pa.int64()), pa.array(found, pa.list_(block))], ["page_id", "url", "region", "blocks"])
+                for rule, sums in taken.items():
+                    sums.append(sum(len(t) for t, _, own in blocks if own == rule))
+            columns = [pa.array(regions, pa.int64()), pa.array(kept, pa.list_(_BLOCK)), pa.array(dropped, pa.list_(pa.int64())), pa.array(taken[KIND], pa.int64()), pa.array(taken[OUTSIDE], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["page_id", "url", "region", "blocks", "dropped", "n_kind", "n_outside"])
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    parsed = rows.mapInArrow(run, "page_id long, url string, region long, blocks array<struct<text:string,owners:array<long>,rule:byte,n:int>>")
-    host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    parsed = durable(parsed.withColumn("row", F.monotonically_increasing_id()).withColumn("host", host), "pages")
+    parsed = rows.mapInArrow(run, "page_id long, url string, region long, blocks array<struct<text:string,owners:array<long>>>, dropped array<long>, n_kind long, n_outside long")
+    host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), _HOST, 1))
+    return parsed.withColumn("row", F.monotonically_increasing_id()).withColumn("host", host)
 
-    owners = F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["owners"])))
-    owned = parsed.select("row", "host", "region", F.explode(owners).alias("owner"))
+
+def _templates(owned: DataFrame, parsed: DataFrame, share: float, least: int, many: int) -> DataFrame:
+    """(host, owner, n, regions) of the subtrees of owned (host, owner, region) that recur."""
     counted = owned.select("host", "owner", "region").distinct().groupBy("host", "owner").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     sizes = parsed.select("host", "region").distinct().groupBy("host").agg(F.count("*").alias("regions"))
-    template = lookup(counted, sizes, ["host"], "regions").filter((F.col("n") >= share * F.col("regions")) | (F.col("n") >= many))
-    template = durable(template.select("host", "owner", "n"), "templates")
+    return lookup(counted, sizes, ["host"], "regions").filter((F.col("n") >= share * F.col("regions")) | (F.col("n") >= many))
+
+
+def site_templates(pages: DataFrame, share: float = 0.1, least: int = 3, many: int = 1000) -> DataFrame:
+    """(host, owner, n, regions): every subtree of the bodies, menus and footers included, that recurs in n of a host's regions."""
+    parsed = durable(_parsed(pages).drop("page_id", "url"), "subtrees")
+    every = F.array_distinct(F.concat("dropped", F.flatten(F.transform("blocks", lambda b: b["owners"]))))
+    return _templates(parsed.select("host", "region", F.explode(every).alias("owner")), parsed, share, least, many)
+
+
+def extract(pages: DataFrame, share: float = 0.1, least: int = 3, many: int = 1000) -> DataFrame:
+    """(page_id, url, text, n_chars, n_kind, n_outside) of every row of pages.
+
+    A subtree is template if it recurs in at least `least` different regions and in `share` of the host's, or in `many` of
+    them, so that a box of one section of a large host goes too. The last two columns are the code points of the blocks
+    that went by their kind and as outside the region; what a rule drops isn't counted again here (site_templates counts
+    all). A null page is empty; a null url is a host of its own; repeated rows stay; no rows give none.
+    """
+    owners = F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["owners"])))
+    parsed = durable(_parsed(pages).drop("dropped").withColumn("owners", owners), "pages")
+    open_rows = parsed.filter(F.size("owners") > 0)
+    owned = open_rows.select("row", "host", "region", F.explode("owners").alias("owner"))
+    template = durable(_templates(owned, parsed, share, least, many).select("host", "owner", "n"), "templates")
     lost = lookup(owned.select("row", "host", "owner"), template, ["host", "owner"], "n").groupBy("row").agg(F.collect_set("owner").alias("template"))
-    none = F.array().cast("array<long>")
-    judged = F.transform(
-        "blocks",
-        lambda b: F.struct(b["text"].alias("text"), b["n"].alias("n"), F.when(F.arrays_overlap(b["owners"], F.coalesce("template", none)), "template").when(b["rule"] == KIND, "kind").when(b["rule"] == OUTSIDE, "outside").otherwise("").alias("lost")),
-    )
-    cut = parsed.join(lost, "row", "left").select("page_id", "url", judged.alias("blocks"))
-    text = F.array_join(F.transform(F.filter("blocks", lambda b: b["lost"] == ""), lambda b: b["text"]), " ")
-    out = cut.select("page_id", "url", text.alias("text"), *(_lost(r).alias(f"n_{r}") for r in ("template", "kind", "outside")))
-    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_template", "n_kind", "n_outside")
+    columns = ["page_id", "url", "n_kind", "n_outside"]
+    left = F.filter("blocks", lambda b: ~F.arrays_overlap(b["owners"], F.coalesce("template", F.array().cast("array<long>"))))
+    cut = open_rows.join(lost, "row", "left").select(*columns, left.alias("blocks"))
+    whole = parsed.filter(F.size("owners") == 0).select(*columns, "blocks")
+    text = F.array_join(F.transform("blocks", lambda b: b["text"]), " ")
+    out = whole.unionByName(cut).withColumn("text", text)
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_kind", "n_outside")
