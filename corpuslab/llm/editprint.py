@@ -6,11 +6,12 @@ again soon, so their emitted strings are near in Hamming distance, and unrelated
 that string: level k covers 64 * 2**k steps after those of the levels below it and keeps one bit from each 2**k of them.
 The walk covers the whole text, whatever its length. Likeness weighs each sampled bit by the steps it stands for.
 
-Bands of sampled bits find candidates for near duplicates; likeness verifies them. `BANDS` bands take `BAND_BITS` bits
-each of a fingerprint's last `TOP` levels, which hold most of its weight. Of a level that differs in d of 64 bits a band
-is equal with probability (64 - BAND_BITS over d) / (64 over d). A walk that ends inside its last level leaves the rest of
-that level's bits at 0; a band takes part only if `LEAST_BITS` of its bits lie before the walk's end (all of them where a
-text's first level is all it has), or texts that have nothing but such zeros in common would meet.
+Bands of sampled bits find candidates for near duplicates; likeness verifies them. A band takes `BAND_BITS` bits from each
+of two neighbouring levels, so that texts which share their beginning only don't meet; `BANDS` bands lie on the last two
+levels, and as many on the one before the last and its predecessor. Where two texts differ in a share d of both levels'
+bits a band is equal with probability (1 - d)**20 or a little less. A walk that ends inside its last level leaves the rest
+of that level's bits at 0; a band takes part only if `LEAST_BITS` of its bits there lie before the walk's end, or texts
+that have nothing but such zeros in common would meet. A text of one level takes its bits from that alone.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bucket_of, durable, range_bounds, width
+from ._shared import bucket_of, durable, lookup, range_bounds, width
 from .components import connected_components
 from .textbatch import blocks, mix
 
@@ -32,9 +33,9 @@ _U = np.uint64
 PERIOD_BITS = 12
 SAMPLES = 64
 BLOCK = 3 << 20
-BANDS, BAND_BITS, LEAST_BITS, TOP = 16, 20, 18, 4
+BANDS, BAND_BITS, LEAST_BITS, TOP = 28, 10, 9, 2
 CELL_MOST = 1 << 13
-SMALL, FAR = 64, 16
+SMALL, FAR = 64, 20
 FEW = 48  # this many walks or fewer advance one by one
 
 
@@ -287,8 +288,8 @@ def compared_with_next(docs: DataFrame) -> DataFrame:
 
 @cache
 def _bands() -> np.ndarray:
-    """The mask of each band's bits."""
-    chosen = np.argsort(mix(np.arange(BANDS * SAMPLES, dtype=_U) + _U(0xBA4D)).reshape(BANDS, SAMPLES), axis=1)[:, :BAND_BITS]
+    """The mask of each band's bits on its level, then those on the level before."""
+    chosen = np.argsort(mix(np.arange(2 * BANDS * SAMPLES, dtype=_U) + _U(0xBA4D)).reshape(2 * BANDS, SAMPLES), axis=1)[:, :BAND_BITS]
     return np.bitwise_or.reduce(_U(1) << chosen.astype(_U), axis=1)
 
 
@@ -298,7 +299,7 @@ def _whole_bands(level: int, total: int) -> np.ndarray:
     if inside >= SAMPLES or level == 0:
         return np.arange(BANDS)
     known = (_U(1) << _U(inside)) - _U(1)
-    return np.flatnonzero(np.bitwise_count(_bands() & known) >= LEAST_BITS)
+    return np.flatnonzero(np.bitwise_count(_bands()[:BANDS] & known) >= LEAST_BITS)
 
 
 def _matrix(prints: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -310,40 +311,92 @@ def _matrix(prints: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return bits, np.array([n for _, n in parsed], np.int64)
 
 
-def _likeness_to(bits: np.ndarray, total: np.ndarray, at: int, rows: np.ndarray) -> np.ndarray:
-    """likeness() of row `at` of a matrix and each of `rows`."""
-    most, least = np.maximum(total[rows], total[at]), np.minimum(total[rows], total[at])
-    same, other = np.zeros(len(rows)), np.zeros(len(rows))
+def _pairs_at(bits: np.ndarray, total: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """likeness() of rows i and j of a matrix, pair by pair."""
+    most, least = np.maximum(total[i], total[j]), np.minimum(total[i], total[j])
+    same, other = np.zeros(len(i)), np.zeros(len(i))
     for k in range(bits.shape[1]):
         steps = _STEPS(k)
+        if not len(most) or steps[0] >= most.max():
+            break
         both, either = np.searchsorted(steps, least, "left"), np.searchsorted(steps, most, "left")
         mask = np.where(both >= SAMPLES, ~_U(0), (_U(1) << np.minimum(both, SAMPLES - 1).astype(_U)) - _U(1))
-        same += float(1 << k) * (both - 2.0 * np.bitwise_count((bits[rows, k] ^ bits[at, k]) & mask))
+        same += float(1 << k) * (both - 2.0 * np.bitwise_count((bits[i, k] ^ bits[j, k]) & mask))
         other += float(1 << k) * either
     return np.where(other > 0, np.clip(same / np.maximum(other, 1), 0, 1), 1.0)
 
 
-def _forest(prints: list[str], nodes: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
-    """Edges that span each component of the pairs of at least that likeness; a found one leaves the list, so dense cells end early."""
-    bits, total = _matrix(prints)
-    left = np.arange(len(nodes))
+def _forest(bits: np.ndarray, total: np.ndarray, rows: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
+    """Edges that span each component of the pairs of at least that likeness among rows of a matrix; a found one leaves the list, so dense cells end early."""
+    left = rows
     while len(left):
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = _likeness_to(bits, total, at, left) >= least
+            near = _pairs_at(bits, total, np.full(len(left), at), left) >= least
             found = left[near].tolist()
-            yield from ((int(nodes[at]), int(nodes[x])) for x in found)
+            yield from ((at, x) for x in found)
             queue.extend(found)
             left = left[~near]
 
 
+def _edges(table: pa.Table, least: float) -> pa.RecordBatch:
+    """Edges inside each whole cell of a table (band, cell, part, node, fingerprint) sorted by cell. Small cells are compared at all distances in the list at once."""
+    band, cell, part, node = (table.column(c).to_numpy() for c in ("band", "cell", "part", "node"))
+    prints = table.column("fingerprint").combine_chunks().dictionary_encode()
+    prints = prints.combine_chunks() if isinstance(prints, pa.ChunkedArray) else prints
+    bits, total = _matrix(prints.dictionary.to_pylist())
+    row = prints.indices.to_numpy()
+    new = np.ones(len(node), bool)
+    new[1:] = (np.diff(band) != 0) | (np.diff(cell) != 0) | (np.diff(part) != 0)
+    run = np.cumsum(new) - 1
+    size = np.bincount(run)
+    small = size[run] <= SMALL
+    us, vs = [], []
+    for step in range(1, min(SMALL, int(size.max(initial=1)))):
+        i = np.flatnonzero((run[:-step] == run[step:]) & small[:-step])
+        if len(i):
+            i = i[_pairs_at(bits, total, row[i], row[i + step]) >= least]
+            us.append(node[i])
+            vs.append(node[i + step])
+    starts = np.flatnonzero(new)
+    for k in np.flatnonzero(size > SMALL).tolist():
+        own = np.arange(starts[k], starts[k] + size[k])
+        who = {int(r): int(n) for r, n in zip(row[own], node[own], strict=True)}
+        pairs = list(_forest(bits, total, row[own], least))
+        us.append(np.array([who[a] for a, _ in pairs], np.int64))
+        vs.append(np.array([who[b] for _, b in pairs], np.int64))
+    empty = np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us) if us else empty), pa.array(np.concatenate(vs) if vs else empty)], ["u", "v"])
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Rows sorted by their first `keys` columns in tables of whole cells."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = [batch.column(k).to_numpy() for k in range(keys)]
+        if held and any(held[-1].column(k)[-1].as_py() != columns[k][0] for k in range(keys)):
+            yield pa.Table.from_batches(held)
+            held = []
+        other = np.flatnonzero(np.logical_or.reduce([c != c[-1] for c in columns]))
+        same = int(other[-1]) + 1 if len(other) else 0  # from here on the last cell, which may go on
+        if same:
+            yield pa.Table.from_batches([*held, batch.slice(0, same)])
+            held = []
+        held.append(batch.slice(same))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _with_partners(table: pa.Table) -> pa.Table:
-    """Of rows (band, cell, node, word) sorted by cell, whole cells: those with a partner in their cell whose level differs in at most FAR bits, and all of cells of more than SMALL rows.
+    """Of rows (band, cell, node, word, before) sorted by cell, whole cells: those with a partner in their cell whose two levels differ in at most FAR bits each, and all of cells of more than SMALL rows.
 
-    Unrelated levels that share a band differ in 22 of the other 44 bits, so chance meetings end here.
+    Unrelated levels that share a band differ in 27 of the other 54 bits, so chance meetings end here.
     """
-    band, cell, word = table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(3).to_numpy().view(_U)
+    band, cell = table.column(0).to_numpy(), table.column(1).to_numpy()
+    words = [table.column(k).to_numpy().view(_U) for k in (3, 4)]
     new = np.ones(len(band), bool)
     new[1:] = (np.diff(band) != 0) | (np.diff(cell) != 0)
     run = np.cumsum(new) - 1
@@ -353,7 +406,8 @@ def _with_partners(table: pa.Table) -> pa.Table:
         i = np.flatnonzero((run[:-step] == run[step:]) & ~(keep[:-step] & keep[step:]))
         if not len(i):
             continue
-        i = i[np.bitwise_count(word[i] ^ word[i + step]) <= FAR]
+        for word in words:
+            i = i[np.bitwise_count(word[i] ^ word[i + step]) <= FAR]
         keep[i] = keep[i + step] = True
     return table.select(["band", "cell", "node"]).filter(pa.array(keep)).combine_chunks()
 
@@ -369,13 +423,13 @@ def with_classes(found: DataFrame, least: float = 0.8) -> DataFrame:
     Equal fingerprints are one class. Rows without doc_id get the class of an equal fingerprint (null if there is none).
     A cell of more than `CELL_MOST` fingerprints is dealt out as pairs of its parts, so none of its pairs is lost.
     """
-    own = durable(found.groupBy("fingerprint").agg(F.min("doc_id").alias("node")).filter("node is not null"), "nodes")
+    own = durable(found.groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")).filter("node is not null"), "nodes")
     masks = _bands()
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, prints = batch.column(1).to_numpy(), batch.column(0).to_pylist()
-            cells, nodes, which, words = [], [], [], []
+            cells, nodes, which, words, before = [], [], [], [], []
             for p, d in zip(prints, node.tolist(), strict=True):
                 bits, total = parse(p)
                 used = 0
@@ -383,38 +437,26 @@ def with_classes(found: DataFrame, least: float = 0.8) -> DataFrame:
                     k = _whole_bands(level, total)
                     if not len(k):
                         continue
-                    cells.append(bits[level] & masks[k])
+                    word, prior = bits[level], bits[level - 1] if level else bits[level] ^ bits[level]
+                    cells.append(mix(mix(word & masks[k]) ^ (prior & masks[k + BANDS])))
                     which.append(k + level * BANDS)
                     nodes.append(np.full(len(k), d))
-                    words.append(np.full(len(k), bits[level]))
+                    words.append(np.full(len(k), word))
+                    before.append(np.full(len(k), prior))
                     used += 1
                     if used == TOP:
                         break
             if cells:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(which).astype(np.int32)), pa.array(np.concatenate(cells).view(np.int64)), pa.array(np.concatenate(nodes).astype(np.int64)), pa.array(np.concatenate(words).view(np.int64))], ["band", "cell", "node", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(which).astype(np.int32)), pa.array(np.concatenate(cells).view(np.int64)), pa.array(np.concatenate(nodes).astype(np.int64)), *(pa.array(np.concatenate(w).view(np.int64)) for w in (words, before))], ["band", "cell", "node", "word", "before"])
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            band, cell = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != (band[0], cell[0]):
-                yield from _with_partners(pa.Table.from_batches(held)).to_batches()
-                held = []
-            other = np.flatnonzero((band != band[-1]) | (cell != cell[-1]))
-            same = int(other[-1]) + 1 if len(other) else 0  # from here on the last cell, which may go on
-            if same:
-                yield from _with_partners(pa.Table.from_batches([*held, batch.slice(0, same)])).to_batches()
-                held = []
-            held.append(batch.slice(same))
-        if held:
-            yield from _with_partners(pa.Table.from_batches(held)).to_batches()
-
-    spread = own.mapInArrow(keys, "band int, cell long, node long, word long").repartition(width(found.sparkSession), "band", "cell").sortWithinPartitions("band", "cell")
+        for table in _whole_cells(batches, 2):
+            yield from _with_partners(table).to_batches()
+
+    spread = own.mapInArrow(keys, "band int, cell long, node long, word long, before long").repartition(width(found.sparkSession), "band", "cell").sortWithinPartitions("band", "cell")
     rows = durable(spread.mapInArrow(prune, "band int, cell long, node long"), "cells")
     sizes = rows.groupBy("band", "cell").agg(F.count("*").alias("size")).filter("size > 1")
-    rows = rows.join(sizes, ["band", "cell"]).join(own, "node")
+    rows = lookup(rows, sizes, ["band", "cell"], "size").join(own.drop("copies"), "node")
     parts = F.ceil(F.col("size") * 2 / F.lit(CELL_MOST)).cast("int")
     dealt = F.pmod(F.xxhash64("fingerprint"), F.col("parts").cast("long")).cast("int")
     both = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(j, F.col("own")) * F.col("parts") + F.greatest(j, F.col("own")))
@@ -422,30 +464,10 @@ def with_classes(found: DataFrame, least: float = 0.8) -> DataFrame:
     rows = rows.filter(F.col("size") <= CELL_MOST).withColumn("part", F.lit(0)).unionByName(hot).select("band", "cell", "part", "node", "fingerprint")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, nodes, prints = None, [], []
-        us, vs = [], []
-
-        def end() -> None:
-            if len(nodes) > 1:
-                for u, v in _forest(prints, np.array(nodes, np.int64), least):
-                    us.append(u)
-                    vs.append(v)
-
-        for batch in batches:
-            for band, cell, part, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at != (band, cell, part):
-                    end()
-                    at, nodes, prints = (band, cell, part), [], []
-                nodes.append(node)
-                prints.append(text)
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
-                us, vs = [], []
-        end()
-        if us:
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+        for table in _whole_cells(batches, 3):
+            yield _edges(table, least)
 
     edges = rows.repartition(width(found.sparkSession), "band", "cell", "part").sortWithinPartitions("band", "cell", "part").mapInArrow(join, "u long, v long")
     groups = connected_components(edges)
-    classes = own.join(groups, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("class_id"))
-    return found.join(classes, "fingerprint", "left").select(*found.columns, "class_id")
+    classes = own.join(groups, "node", "left").select("fingerprint", "copies", F.coalesce("component", "node").alias("class_id"))
+    return lookup(found, durable(classes, "classes"), ["fingerprint"], "copies", "left").select(*found.columns, "class_id")
