@@ -7,11 +7,11 @@ that string: level k covers 64 * 2**k steps after those of the levels below it a
 The walk covers the whole text, whatever its length. Likeness weighs each sampled bit by the steps it stands for.
 
 Bands of sampled bits find candidates for near duplicates; likeness verifies them. A band takes `BAND_BITS` bits from each
-of two neighbouring levels, so that texts which share their beginning only don't meet; `BANDS` bands lie on the last two
-levels, and as many on the one before the last and its predecessor. Where two texts differ in a share d of both levels'
-bits a band is equal with probability (1 - d)**20 or a little less. A walk that ends inside its last level leaves the rest
-of that level's bits at 0; a band takes part only if `LEAST_BITS` of its bits there lie before the walk's end, or texts
-that have nothing but such zeros in common would meet. A text of one level takes its bits from that alone.
+of two levels, so that texts which share their beginning only don't meet; `BANDS` bands lie on each pair of the last three
+levels, so that an edit may spoil one of them. Where two texts differ in a share d of both levels' bits a band is equal
+with probability (1 - d)**20 or a little less. A walk that ends inside its last level leaves the rest of that level's bits
+at 0; a band takes part only if `LEAST_BITS` of its bits there lie before the walk's end, or texts that have nothing but
+such zeros in common would meet. A text of one level takes its bits from that alone.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ _U = np.uint64
 PERIOD_BITS = 12
 SAMPLES = 64
 BLOCK = 3 << 20
-BANDS, BAND_BITS, LEAST_BITS, TOP = 28, 10, 9, 2
+BANDS, BAND_BITS, LEAST_BITS, TOP = 16, 10, 9, 3
 CELL_MOST = 1 << 13
 SMALL, FAR = 64, 20
 FEW = 48  # this many walks or fewer advance one by one
@@ -432,20 +433,16 @@ def with_classes(found: DataFrame, least: float = 0.8) -> DataFrame:
             cells, nodes, which, words, before = [], [], [], [], []
             for p, d in zip(prints, node.tolist(), strict=True):
                 bits, total = parse(p)
-                used = 0
-                for level in reversed(range(len(bits))):
-                    k = _whole_bands(level, total)
-                    if not len(k):
-                        continue
-                    word, prior = bits[level], bits[level - 1] if level else bits[level] ^ bits[level]
+                usable = [(level, k) for level in reversed(range(len(bits))) if len(k := _whole_bands(level, total))][:TOP]
+                pairs = list(combinations(range(len(usable)), 2)) or [(0, 0)] * len(usable)
+                for x, y in pairs:
+                    (level, k), other = usable[x], usable[y][0]
+                    word, prior = bits[level], bits[other]
                     cells.append(mix(mix(word & masks[k]) ^ (prior & masks[k + BANDS])))
-                    which.append(k + level * BANDS)
+                    which.append(k + ((level * 64) + other) * BANDS)
                     nodes.append(np.full(len(k), d))
                     words.append(np.full(len(k), word))
                     before.append(np.full(len(k), prior))
-                    used += 1
-                    if used == TOP:
-                        break
             if cells:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(which).astype(np.int32)), pa.array(np.concatenate(cells).view(np.int64)), pa.array(np.concatenate(nodes).astype(np.int64)), *(pa.array(np.concatenate(w).view(np.int64)) for w in (words, before))], ["band", "cell", "node", "word", "before"])
 
