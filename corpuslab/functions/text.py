@@ -1,9 +1,13 @@
-"""Column functions: normalisation, tokens and language signals. None of them runs Python on executors."""
+"""Column functions: normalisation, tokens and language signals. All but `composed` stay in the JVM."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .fixed import LEAKAGE_WORDS, QUECHUA_ENDINGS, QUECHUA_SIGNAL, SPACE, SPANISH_SIGNAL
 
@@ -69,3 +73,30 @@ def ngrams(tokens: Column, n: int) -> Column:
     """Joined windows of n tokens; none if there are fewer."""
     count = F.size(tokens) - (n - 1)
     return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+
+_MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżžÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝŸĀĂĄĆĈĊČĎĒĔĖĘĚĜĞĠĢĤĨĪĬĮİĴĶĹĻĽŃŅŇŌŎŐŔŖŘŚŜŞŠŢŤŨŪŬŮŰŲŴŶŹŻŽ"
+
+
+def without_accents(c: Column) -> Column:
+    """Latin letters without their marks, composed or combining."""
+    bare = "".join(unicodedata.normalize("NFKD", x)[0] for x in _MARKED)
+    return F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), _MARKED, bare), r"[\x{300}-\x{36F}]", "")
+
+
+@F.pandas_udf(StringType())
+def composed(texts: pd.Series) -> pd.Series:
+    """Unicode normal form C; built-in functions have none. A null stays null."""
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
+def prompt_tokens(c: Column) -> Column:
+    """Words of three characters or more as first written, each once whatever its case."""
+    words = F.regexp_extract_all(c, F.lit("([A-Za-zÁÉÍÓÚÜÑáéíóúüñ0-9]{3,})"), 1)
+    lower = F.transform(words, lambda w: F.lower(w))
+    return F.filter(F.transform(words, lambda w, i: F.when(F.array_position(lower, F.lower(w)) == i + 1, w)), lambda w: w.isNotNull())
+
+
+def canonical_key(c: Column) -> Column:
+    """normalize_space in lower case without one full stop or comma at its end."""
+    return F.regexp_replace(F.lower(normalize_space(c)), "[.,]$", "")

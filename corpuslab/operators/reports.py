@@ -60,3 +60,8 @@ def leaderboard(df: DataFrame, order: list) -> DataFrame:
 def selection_score(chrf, bleu, f1, length, copied, exact, leak, artifacts, ter) -> Column:
     """One number from external metrics; a missing error rate counts as 100."""
     return 0.45 * chrf + 0.15 * bleu + 0.25 * f1 + 0.05 * length - 0.30 * copied - 0.40 * exact - 0.25 * leak - 0.35 * artifacts - 0.03 * F.coalesce(ter, F.lit(100.0))
+
+
+def size_stats(df: DataFrame, keys: list[str], size: Column) -> DataFrame:
+    """(keys, least_chars, mean_chars, most_chars, n) of a length."""
+    return df.groupBy(*keys).agg(F.min(size).alias("least_chars"), F.round(F.avg(size), 4).alias("mean_chars"), F.max(size).alias("most_chars"), F.count("*").alias("n"))

@@ -31,7 +31,7 @@ _FEATURES = f"""{_MBR}, {_CHOSEN}, tf AS (SELECT s.conv_id, s.candidate_index, a
 ft AS (SELECT s.*, count(*) OVER g AS n, greatest(1, count(*) OVER g - 1) AS last, row_number() OVER (PARTITION BY conv_id ORDER BY mbr_score DESC, candidate_index DESC) - 1 AS place, max(mbr_score) OVER g AS best, count(*) OVER (PARTITION BY conv_id, lower({S.norm('prediction')})) AS same,
   {_stop('source_tokens')} AS roots, ['data/qwen3.5-9b/x', 'a/qwen35-4B_full', 'run/current', 'zz', ''][1 + candidate_index % 5] AS path FROM scored s WINDOW g AS (PARTITION BY conv_id)),
 fe AS (SELECT ft.conv_id, ft.candidate_index, mbr_score, 1.0 - place * 1.0 / last AS mbr_rank, mbr_score - best AS mbr_gap_to_best, same * 1.0 / n AS duplicate_rate, length_consensus, copied AS source_copy_ratio, CASE WHEN len(roots) = 0 OR len(tokens) = 0 THEN 0 ELSE len(list_filter(roots, lambda r: len(list_filter(tokens, lambda t: starts_with(t, r))) > 0)) * 1.0 / len(roots) END AS source_root_copy_ratio,
-  leak AS spanish_leakage_penalty, artifacts AS chat_artifact_penalty, repeated AS repetition_penalty, exact::INT AS exact_source_copy, coalesce(coverage, 0) AS terminology_target_coverage, coalesce(leakage, 0) AS terminology_source_root_leakage, candidate_index * 1.0 / last AS candidate_index_fraction, n_tokens * 1.0 AS target_token_count, n_tokens * 1.0 / greatest(1, len(source_tokens)) AS target_source_token_ratio, path
+  leak AS spanish_leakage_penalty, artifacts AS chat_artifact_penalty, repeated AS repetition_penalty, exact::INT AS exact_source_copy, coalesce(coverage, 0) AS terminology_target_coverage, coalesce(leakage, 0) AS terminology_source_root_leakage, ft.candidate_index * 1.0 / last AS candidate_index_fraction, n_tokens * 1.0 AS target_token_count, n_tokens * 1.0 / greatest(1, len(source_tokens)) AS target_source_token_ratio, path
   FROM ft LEFT JOIN tf ON tf.conv_id = ft.conv_id AND tf.candidate_index = ft.candidate_index)"""
 
 
