@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed import LOANS, MARKED_LOANS, SPELLING_RULES, SPELLINGS
+from .fixed import KEPT_NAMES, LOANS, MARKED_LOANS, PLACE_NAMES, RULE_LOANS, RULE_STEPS, RULE_WORDS, SPELLING_RULES, SPELLINGS, WORD
 from .text import normalize_space
 
 
@@ -63,3 +63,41 @@ def veto(original: Column, proposed: Column) -> Column:
         .when(F.char_length(normalize_space(proposed)) > F.char_length(normalize_space(original)) + 3, "length_explosion")
         .when(grew("chh|kh|ph|qh|th"), "aspirate_inserted")
     )
+
+
+def rule_token(token: Column) -> Column:
+    """A word by the plain rules: a set word, else the steps in order."""
+    words = F.create_map(*(F.lit(x) for pair in RULE_WORDS.items() for x in pair))
+    ruled = reduce(lambda c, rule: F.regexp_replace(c, rule[0], rule[1]), RULE_STEPS, token)
+    return F.coalesce(F.try_element_at(words, F.lower(token)), ruled)
+
+
+def rule_normalized(text: Column) -> Column:
+    """A sentence by the plain rules: place names, marked loans, then each word between its punctuation marks; names and words that begin with no letter stay."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?i)({'|'.join(MARKED_LOANS)})(\S*)\s+nisqa(\S*)", "$1$2$3")
+    for old, new in PLACE_NAMES.items():
+        t = F.regexp_replace(t, f"(?<!{WORD}){old}(?!{WORD})", new)
+    loans = F.create_map(*(F.lit(x) for pair in RULE_LOANS.items() for x in pair))
+
+    def one(word: Column) -> Column:
+        head, core, tail = (F.regexp_extract(word, rf"(?s)^([^\p{{L}}\p{{N}}_]*)(.+?)([^\p{{L}}\p{{N}}_]*)$", k) for k in (1, 2, 3))
+        new = F.when(core.isin(*KEPT_NAMES), core).otherwise(F.coalesce(F.try_element_at(loans, core), F.when(core.rlike(r"^\p{L}"), rule_token(core)).otherwise(core)))
+        return F.concat(head, new, tail)
+
+    return F.array_join(F.transform(tokens(t), one), " ")
+
+
+def plain_dialect(token: Column) -> Column:
+    """A word of the southern spelling in the plain one: a lone capital lowered, no apostrophe after stops, no aspirate at a word's start, u for o, qam for qan."""
+    lone = token.rlike(r"^\p{Lu}") & ~token.rlike(r"^\p{Lu}\p{Lu}") & (F.char_length(token) > 1)
+    t = F.when(lone, F.concat(F.lower(F.left(token, F.lit(1))), F.substring(token, F.lit(2), F.char_length(token)))).otherwise(token)
+    for stop in ("k", "p", "t", "q", "ch", "s"):
+        t = F.replace(t, F.lit(stop + "'"), F.lit(stop))
+    t = F.regexp_replace(t, f"(?<!{WORD})(k|p|t|q|ch|s)h([aeiou])", "$1$2")
+    t = F.translate(t, "oO", "uU")
+    return F.when(F.lower(t) == "qan", "qam").otherwise(t)
+
+
+def specificity_score(n_right: Column, n: Column, n_bad: Column, n_tokens: Column) -> Column:
+    """Share of right sentences less the share of corrupted tokens."""
+    return n_right / F.greatest(n, F.lit(1)) - n_bad / F.greatest(n_tokens, F.lit(1))
