@@ -90,6 +90,31 @@ def drop_leaks(df: DataFrame, held: DataFrame, on: list[tuple[Column, Column]])
     return df
 
 
+def drop_containing(df: DataFrame, held: DataFrame, text: Column, passage: Column, words: int = 5) -> DataFrame:
+    """df without the rows whose text holds a held-out passage, whole words in a row, whatever their case and spacing.
+
+    A passage's first `words` words (all, if it has fewer) meet the texts' runs of as many words by their hash; the whole
+    passage is then checked. No text is held against passages that it shares no run with.
+    """
+    spaced = lambda c: F.concat(F.lit(" "), F.lower(T.normalize_space(c)), F.lit(" "))
+    body = df.withColumns({"_row": F.monotonically_increasing_id(), "_body": spaced(text)}).withColumn("_words", F.split(F.trim("_body"), " "))
+    p = held.select(spaced(passage).alias("_passage")).filter("trim(_passage) <> ''").distinct()
+    p = p.withColumn("_w", F.split(F.trim("_passage"), " "))
+    p = p.withColumn("_size", F.least(F.size("_w"), F.lit(words)))
+    sizes = [r["_size"] for r in p.select("_size").distinct().collect()]  # `words` numbers at most
+    if not sizes:
+        return df
+    p = p.withColumn("_h", F.xxhash64("_size", F.array_join(F.slice(F.col("_w"), F.lit(1), F.col("_size")), " "))).drop("_w", "_size")
+    runs = F.concat(*(_hashed_runs(F.col("_words"), n) for n in sorted(sizes)))
+    flat = body.select("_row", "_body", F.explode(F.array_distinct(runs)).alias("_h"))
+    hit = flat.join(p, "_h").filter(F.contains("_body", "_passage")).select("_row").distinct()
+    return body.join(hit, "_row", "left_anti").drop("_row", "_body", "_words")
+
+
+def _hashed_runs(words: Column, n: int) -> Column:
+    return F.transform(T.ngrams(words, n), lambda g: F.xxhash64(F.lit(n), g))
+
+
 def pending(rows: DataFrame, accepted: DataFrame, failed: DataFrame, key: str) -> DataFrame:
     """rows with status existing_accepted, existing_failed or pending; an accepted key stays accepted."""
     marks = accepted.select(key).withColumn("_m", F.lit(2)).union(failed.select(key).withColumn("_m", F.lit(1))).groupBy(key).agg(F.max("_m").alias("_m"))

@@ -61,13 +61,14 @@ def w12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "d6_union_with_provenance",
-    f"""WITH {S.PAIRS}, u AS (SELECT 0 AS pool, conv_id * 100 + turn AS ord, source, target FROM pairs UNION ALL SELECT 1, doc_id, split_part(text, chr(10), 1), split_part(text, chr(10), 2) FROM documents),
+    f"""WITH {S.PAIRS}, u AS (SELECT 0 AS pool, conv_id * 100 + turn AS ord, source, target FROM pairs UNION ALL SELECT 1, doc_id, split_part(text, chr(10), 1), CASE WHEN contains(text, chr(10)) THEN substring(text, strpos(text, chr(10)) + 1) ELSE '' END FROM documents),
     k AS (SELECT *, lower({S.norm('source')}) AS key FROM u WHERE {S.norm('source')} <> '' AND {S.norm('target')} <> ''), f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY pool, ord) = 1)
     SELECT CASE WHEN pool = 0 THEN 'conversations' ELSE 'documents' END AS origin, count(*) AS n, sum(length(target))::BIGINT AS chars FROM f WHERE key NOT IN (SELECT lower({S.norm('text')}) FROM benchmark) GROUP BY pool""",
 )
 def d6(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = pairs(spark, sf_dir).select(F.lit("conversations").alias("origin"), (F.col("conv_id") * 100 + F.col("turn")).alias("ord"), "source", "target")
-    line = [F.split_part("text", F.lit("\n"), F.lit(k)) for k in (1, 2)]
+    at = F.locate("\n", F.col("text"))
+    line = [F.split_part("text", F.lit("\n"), F.lit(1)), F.when(at > 0, F.substring(F.col("text"), at + 1, F.char_length("text"))).otherwise("")]
     b = table(spark, sf_dir, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("ord"), line[0].alias("source"), line[1].alias("target"))
     u = a.unionByName(b).filter((T.normalize_space(F.col("source")) != "") & (T.normalize_space(F.col("target")) != ""))
     u = P.keep_first(u.withColumn("key", F.lower(T.normalize_space(F.col("source")))), ["key"], ["origin", "ord"])

@@ -87,13 +87,15 @@ def d3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "j2_leak_anti_join",
     f"""SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE lower({S.norm('b.text')}) = lower({S.norm('d.text')}))
-    AND NOT EXISTS (SELECT 1 FROM benchmark b WHERE lower({S.norm('b.text')}) = lower({S.norm("split_part(d.text, chr(10), 1)")}))""",
+    AND NOT EXISTS (SELECT 1 FROM benchmark b WHERE lower({S.norm('b.text')}) = lower({S.norm("split_part(d.text, chr(10), 1)")}))
+    AND NOT EXISTS (SELECT 1 FROM benchmark b WHERE contains(' ' || lower({S.norm('d.text')}) || ' ', ' ' || lower({S.norm('b.text')}) || ' '))""",
 )
 def j2(spark: SparkSession, sf_dir: str) -> DataFrame:
     def key(c):
         return F.lower(T.normalize_space(c))
 
     d, b = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select(F.col("text").alias("held"))
+    d = P.drop_containing(d, b, F.col("text"), F.col("held"))
     return P.drop_leaks(d, b, [(key(F.col("text")), key(F.col("held"))), (key(F.split_part("text", F.lit("\n"), F.lit(1))), key(F.col("held")))]).select("doc_id")
 
 

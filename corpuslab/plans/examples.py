@@ -29,16 +29,26 @@ def _safe(c: str) -> str:
     return out
 
 
-_SET = "[" + ", ".join(f"'{w}'" for w in (LOANS | SPELLINGS)) + "]"
+_SET = LOANS | SPELLINGS
+
+
+def _listed(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+_WORD = f"list_extract({_listed(_SET.values())}, list_position({_listed(_SET)}, lower(token)))"
 
 
 @query(
     "x81_safe_tokens",
-    f"WITH w AS (SELECT DISTINCT unnest(string_split({S.norm('text')}, ' ')) AS token FROM conversations) SELECT token, {_safe('token')} AS safe FROM w WHERE token <> '' AND NOT list_contains({_SET}, lower(token))",
+    f"""WITH w AS (SELECT DISTINCT unnest(string_split({S.norm('text')}, ' ')) AS token FROM conversations UNION SELECT unnest({_listed(_SET)}) UNION SELECT unnest({_listed([w.capitalize() for w in _SET])}))
+    SELECT token, CASE WHEN list_contains({_listed(_SET)}, lower(token)) THEN CASE WHEN left(token, 1) <> lower(left(token, 1)) THEN upper(left({_WORD}, 1)) || substring({_WORD}, 2) ELSE {_WORD} END ELSE {_safe('token')} END AS safe FROM w WHERE token <> ''""",
 )
 def x81(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = table(spark, sf_dir, "conversations").select(F.explode(O.tokens(F.col("text"))).alias("token")).distinct()
-    return w.filter(~F.lower("token").isin(*(LOANS | SPELLINGS))).select("token", O.safe_token(F.col("token")).alias("safe"))
+    """The words of the texts, and every set word in small letters and with a capital."""
+    w = table(spark, sf_dir, "conversations").select(F.explode(O.tokens(F.col("text"))).alias("token"))
+    own = spark.createDataFrame([(x,) for w in _SET for x in (w, w.capitalize())], "token string")
+    return w.union(own).distinct().select("token", O.safe_token(F.col("token")).alias("safe"))
 
 
 @query(
@@ -57,11 +67,11 @@ def a25(spark: SparkSession, sf_dir: str) -> DataFrame:
     "g6_verifier_examples",
     f"""WITH {S.PAIRS}, o AS (SELECT *, coalesce(lead(target) OVER w, first_value(target) OVER w) AS nxt, string_split(target, ' ') AS t FROM pairs WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
     h AS (SELECT *, CASE WHEN nxt <> target THEN nxt END AS other, array_to_string(t[1 : greatest(1, len(t) // 2)], ' ') AS half, target || ' ' || array_to_string(t[greatest(1, len(t) - 2) : len(t)], ' ') AS tail, string_split(nxt, ' ') AS n FROM o),
-    e AS (SELECT conv_id, turn, unnest(list_filter([target, source, half, target || ' de la autoridad', tail, other, CASE WHEN other IS NOT NULL THEN half || ' ' || array_to_string(n[1 : greatest(1, len(n) // 2)], ' ') END], lambda x: x IS NOT NULL)) AS candidate FROM h)
-    SELECT conv_id, turn, md5(candidate) AS digest FROM e""",
+    e AS (SELECT conv_id, turn, unnest(CASE WHEN other IS NULL THEN list_slice(['{{"score":0.98,"severity":"none","rationale":"faithful_reference_translation"}}', '{{"score":0.02,"severity":"critical","rationale":"copied_spanish_source"}}', '{{"score":0.38,"severity":"major","rationale":"incomplete_translation"}}', '{{"score":0.58,"severity":"major","rationale":"spanish_leakage"}}', '{{"score":0.72,"severity":"minor","rationale":"repetition_or_fluency_damage"}}', '{{"score":0.16,"severity":"critical","rationale":"fluent_but_semantically_unrelated_chanka"}}', '{{"score":0.42,"severity":"major","rationale":"mixed_translation_from_another_example"}}'], 1, 5) ELSE ['{{"score":0.98,"severity":"none","rationale":"faithful_reference_translation"}}', '{{"score":0.02,"severity":"critical","rationale":"copied_spanish_source"}}', '{{"score":0.38,"severity":"major","rationale":"incomplete_translation"}}', '{{"score":0.58,"severity":"major","rationale":"spanish_leakage"}}', '{{"score":0.72,"severity":"minor","rationale":"repetition_or_fluency_damage"}}', '{{"score":0.16,"severity":"critical","rationale":"fluent_but_semantically_unrelated_chanka"}}', '{{"score":0.42,"severity":"major","rationale":"mixed_translation_from_another_example"}}'] END) AS label, unnest(list_filter([target, source, half, target || ' de la autoridad', tail, other, CASE WHEN other IS NOT NULL THEN half || ' ' || array_to_string(n[1 : greatest(1, len(n) // 2)], ' ') END], lambda x: x IS NOT NULL)) AS candidate FROM h)
+    SELECT conv_id, turn, label, md5(candidate) AS digest FROM e""",
 )
 def g6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.verifier_examples(pairs(spark, sf_dir), ["conv_id", "turn"], ["turn"]).select("conv_id", "turn", F.md5(F.col("candidate").cast("binary")).alias("digest"))
+    return X.verifier_examples(pairs(spark, sf_dir), ["conv_id", "turn"], ["turn"]).select("conv_id", "turn", "label", F.md5(F.col("candidate").cast("binary")).alias("digest"))
 
 
 @query(

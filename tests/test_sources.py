@@ -84,3 +84,44 @@ def test_sparse_scores(spark):
     assert f.filter(f"index = {index}").first()["value"] == 2.0
     w = spark.createDataFrame([(index, 0.5)], "index long, weight double")
     assert scoring.sparse_scores(f, ["k"], w).first()["score"] == 1.0
+
+
+def test_checked_jsonl_names_file_and_line(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"k": 1}\n\n{"k": 2}\n')
+    assert [(r["line"], r["k"]) for r in readers.checked_jsonl(spark, str(tmp_path / "a.jsonl"), "k int").orderBy("line").collect()] == [(0, 1), (2, 2)]
+    (tmp_path / "b.jsonl").write_text('{"k": 1}\n{bad\n')
+    with pytest.raises(Exception, match="b.jsonl:2"):
+        readers.checked_jsonl(spark, str(tmp_path / "b.jsonl"), "k int").collect()
+
+
+def test_readers_of_many_forms(spark, tmp_path):
+    (tmp_path / "t.tsv").write_bytes("Spanish gloss\tChanka\tnota\nniño\twawa\tx\n".encode("latin-1"))
+    got = readers.latin_table(spark, str(tmp_path / "t.tsv"), {"es": ["spanish", "gloss"], "qu": ["chanka"]}).first()
+    assert (got["es"], got["qu"]) == ("niño", "wawa")
+    with pytest.raises(ValueError, match="no column for z"):
+        readers.latin_table(spark, str(tmp_path / "t.tsv"), {"z": ["missing"]})
+    (tmp_path / "s.txt").write_text("uno\n \ndos\n")
+    (tmp_path / "s.jsonl").write_text('{"source": "tres", "variant": "v"}\n')
+    rows = readers.sources(spark, str(tmp_path / "s.txt"), str(tmp_path / "s.jsonl"), ["cuatro", " "], "d").orderBy("source").collect()
+    assert [(r["source"], r["source_name"], r["variant"]) for r in rows] == [("cuatro", "inline", "d"), ("dos", "s.txt", "d"), ("tres", "records", "v"), ("uno", "s.txt", "d")]
+    (tmp_path / "c.csv").write_text(",huk\niskay,x\n")
+    (tmp_path / "k.jsonl").write_text('{"sentence": "a"}\n{"text": "b"}\n{"other": 1}\n')
+    assert sorted(r[0] for r in readers.sentences(spark, str(tmp_path / "c.csv")).collect()) == ["huk", "iskay"]
+    assert sorted(r[0] for r in readers.sentences(spark, str(tmp_path / "k.jsonl")).collect()) == ["a", "b"]
+    assert sorted(r[0] for r in readers.sentences(spark, str(tmp_path / "s.txt")).collect()) == ["dos", "uno"]
+    assert readers.expanded("a*.json, b.json ,") == ["a*.json", "b.json"]
+    df = spark.createDataFrame([(" a ", "b"), ("", "c")], "reviewed_spanish string, reviewed_chanka_quechua string")
+    assert [tuple(r) for r in readers.pair_columns(df, True).collect()] == [("a", "b", None, None)]
+
+
+def test_file_facts_and_reports(spark, tmp_path):
+    (tmp_path / "f.jsonl").write_text("{}\n\n{}\n")
+    facts = {r["name"]: r for r in readers.file_facts(spark, {"f": str(tmp_path / "f.jsonl"), "none": str(tmp_path / "none"), "dir": str(tmp_path)}).collect()}
+    assert facts["f"]["lines"] == 2 and facts["f"]["bytes"] == 7 and not facts["none"]["exists"] and facts["dir"]["is_dir"]
+    df = spark.createDataFrame([(1, 0.5)], "a int, b double")
+    assert "## Counts" in writers.sections({"Counts": df}) and "1,0.5000" in writers.sections({"Counts": df})
+    with pytest.raises(ValueError, match="more than 3 rows"):
+        writers.markdown(spark.range(5), most=3)
+    nested = spark.createDataFrame([((1, [(2, 3)]),)], "z struct<y:int,x:array<struct<b:int,a:int>>>")
+    writers.jsonl(nested, str(tmp_path / "n"))
+    assert spark.read.text(str(tmp_path / "n")).first()["value"] == '{"z":{"x":[{"a":3,"b":2}],"y":1}}'
