@@ -11,7 +11,10 @@ from ..functions import rewards as R
 from ..functions import text as T
 from ..operators import corpus_scores
 from ..operators import curation as C
+from ..operators import dictionaries as D
+from ..operators import features as X
 from ..operators import pools as P
+from ..operators import reports
 from . import sqltext as S
 from .candidates import _MBR, pool, scored
 from .corpus import pairs
@@ -220,3 +223,51 @@ def r6(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = made(spark, sf_dir, "SELECT n_nationkey AS ord, 'nation_' || (n_nationkey % 9) AS es, 'Q' || (n_nationkey % 7) AS qu FROM {nation} UNION ALL SELECT 100, 'customer', 'Rantiq' UNION ALL SELECT 101, 'tome', 'Tu'")
     c = made(spark, sf_dir, "SELECT c_custkey, c_name || ' de nation_' || (c_custkey % 12) || ' X' AS body FROM {customer}")
     return C.dictionary_block(C.dictionary_hits(c, "c_custkey", "body", e, 3), "c_custkey", "Diccionario:")
+
+
+_LINES = """SELECT o_custkey % 300 AS part, o_orderkey AS line, CASE o_orderkey % 6 WHEN 0 THEN 'wasi/uta sust. casa (grande),' WHEN 1 THEN '' || (o_orderkey % 90) WHEN 2 THEN 'x; hogar.' WHEN 3 THEN 'mayu sust. río ' || o_orderstatus || ', agua.' WHEN 4 THEN 'A' ELSE 'puriy v.int. andar.' END AS text FROM {orders}"""
+
+
+@query("g5_dictionary_lines", """SELECT o_orderkey AS line, CASE o_orderkey % 4 WHEN 0 THEN 'abandonar' WHEN 1 THEN 'alegrar' ELSE 'casa' END AS headword, unnest(CASE o_orderkey % 4 WHEN 0 THEN ['saqiy', 'wischuy'] WHEN 1 THEN ['kusichiy'] ELSE ['wasi'] END) AS form FROM orders WHERE o_orderkey % 4 < 3""")
+def g5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = made(spark, sf_dir, "SELECT o_orderkey AS line, CASE o_orderkey % 4 WHEN 0 THEN 'Abandonar saqiy; wischuy algo.' WHEN 1 THEN 'alegrar (a otro) kusichiy' WHEN 2 THEN 'casa wasi/rumi2x' ELSE '12' END AS text FROM {orders}")
+    return D.line_entries(lines, "text", ["A"]).select("line", "headword", "form")
+
+
+@query("g5_dictionary_entries")
+def g5b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries that run over lines; the carried text has no SQL."""
+    return D.entries(made(spark, sf_dir, _LINES), ["part"], "line", "text", ["A"])
+
+
+@query("a19_preference_means", f"""{_MBR}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY mbr_score DESC, candidate_index) AS b, count(*) OVER (PARTITION BY conv_id) AS n FROM scored), p AS (SELECT x.conv_id, x.mbr_score AS c, y.mbr_score AS j, x.n FROM r x JOIN r y ON x.conv_id = y.conv_id AND x.b = 1 AND y.b = 2)
+    SELECT g.k AS part, count(p.c) AS pairs, round(coalesce(avg(c), 0), 5) AS chosen, round(coalesce(avg(j), 0), 5) AS rejected, round(coalesce(avg(c - j), 0), 5) AS margin, round(coalesce(avg(n), 0), 5) AS candidates FROM (SELECT unnest([0, 1, 2]) AS k) g LEFT JOIN p ON p.conv_id % 2 = g.k AND c - j >= 0.01 GROUP BY g.k""")
+def a19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means over pairs, 0 where there are none."""
+    p = P.preferences(scored(spark, sf_dir), ["conv_id"], "mbr_score", 0.01).withColumn("part", F.col("conv_id") % 2)
+    parts = spark.range(3).select(F.col("id").alias("part"))
+    means = {"chosen": "chosen_score", "rejected": "rejected_score", "margin": "score_margin", "candidates": "candidate_count"}
+    found = parts.join(p, "part", "left").groupBy("part").agg(F.count("chosen_score").alias("pairs"), *(F.round(F.coalesce(F.avg(c), F.lit(0.0)), 5).alias(k) for k, c in means.items()))
+    return found
+
+
+@query("x7_text_tokens", f"""WITH t AS (SELECT conv_id, turn, list_filter(list_transform(regexp_extract_all(lower({S.norm('text')}), '[\\p{{L}}\\p{{N}}_ʼ’''-]+'), lambda x: trim(x, '-''ʼ’')), lambda x: x <> '') AS t FROM conversations) SELECT conv_id, turn, len(t) AS n, md5(array_to_string(list_slice(list_filter(t, lambda x: length(x) >= 3 AND NOT list_contains({S.listing(fixed.LEAKAGE_WORDS)}, x)), 1, 8), '|')) AS digest FROM t""")
+def x7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tokens counted, and the first eight content tokens."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", X.text_tokens(F.col("text")).alias("t"))
+    content = F.slice(F.filter("t", lambda w: (F.char_length(w) >= 3) & ~w.isin(*fixed.LEAKAGE_WORDS)), 1, 8)
+    return c.select("conv_id", "turn", F.size("t").cast("long").alias("n"), F.md5(F.array_join(content, "|").cast("binary")).alias("digest"))
+
+
+@query("x42_reward_scores", f"{_SIGNALS} SELECT {_KEYS}, round({_linear(fixed.REWARD_PARTS['baseline'])} + 1e-9, 4) AS baseline, round({_linear(fixed.REWARD_PARTS['rerank'])} + 1e-9, 4) AS rerank, round(quality + 1e-9, 4) AS bounded FROM sg")
+def x42(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = R.with_signals(pool(spark, sf_dir))
+    values = {"baseline": R.weighted(fixed.REWARD_PARTS["baseline"]), "rerank": R.weighted(fixed.REWARD_PARTS["rerank"]), "bounded": F.col("s_quality")}
+    return _index(s, *(F.round(v + 1e-9, 4).alias(k) for k, v in values.items()))
+
+
+@query("x54_selection_scores", "SELECT o_orderkey, round(0.45 * (o_orderkey % 50) + 0.15 * (o_orderkey % 20) + 0.25 * (o_orderkey % 60) + 0.05 * (o_orderkey % 90) - 0.30 * (o_orderkey % 7) - 0.40 * (o_orderkey % 3) - 0.25 * (o_orderkey % 5) - 0.35 * (o_orderkey % 2) - 0.03 * CASE WHEN o_orderkey % 4 = 0 THEN 100 ELSE o_orderkey % 80 END, 5) AS score FROM orders")
+def x54(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    parts = [k % m for m in (50, 20, 60, 90, 7, 3, 5, 2)]
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(reports.selection_score(*parts, F.when(k % 4 > 0, k % 80)), 5).alias("score"))
