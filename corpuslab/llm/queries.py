@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import durable, fresh_path, table
+from ._shared import durable, fresh_path, release, table
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,9 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .editprint import compared_with_next, with_classes
 
-    return with_classes(durable(compared_with_next(table(spark, sf_dir, "documents")), "compared"))
+    compared = durable(compared_with_next(table(spark, sf_dir, "documents")), "compared")
+    release(spark)  # the texts' shuffle goes before the bands' comes
+    return with_classes(compared)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
