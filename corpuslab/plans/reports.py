@@ -119,12 +119,12 @@ def t7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "q1_promotion",
-    f"WITH {_BOARD}, base AS (SELECT * FROM s WHERE run = 'src0') SELECT s.run, round(s.score - base.score, 4) AS delta, s.score - base.score >= 0.5 AND s.bad <= base.bad AS promoted FROM s, base WHERE s.run <> 'src0'",
+    f"WITH {_BOARD}, base AS (SELECT * FROM s WHERE run = 'src0') SELECT s.run, round(s.score - base.score, 4) AS delta, s.score - base.score >= 0.5 AND s.bad <= base.bad AS promoted FROM s LEFT JOIN base ON true WHERE s.run <> 'src0'",
 )
 def q1(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _board(spark, sf_dir)
     base = b.filter("run = 'src0'").select(F.col("score").alias("base_score"), F.col("bad").alias("base_bad"))
-    j = b.filter("run <> 'src0'").join(F.broadcast(base))  # one row
+    j = b.filter("run <> 'src0'").join(F.broadcast(base), F.lit(True), "left")  # one row; without it every delta is null
     return j.select("run", F.round(F.col("score") - F.col("base_score"), 4).alias("delta"), ((F.col("score") - F.col("base_score") >= 0.5) & (F.col("bad") <= F.col("base_bad"))).alias("promoted"))
 
 

@@ -69,7 +69,8 @@ def test_best_margin_and_preferences(spark):
 def test_evenly_spaced_peers(spark):
     df = spark.createDataFrame([("g", i, f"p{i}", [f"p{i}", "x"]) for i in range(7)], "g string, candidate_index int, prediction string, tokens array<string>")
     got = pools.peer_utilities(df, ["g"], most=3).filter("candidate_index = 6").first()
-    assert got["peers"] == 3 and got["utility"] == pytest.approx(0.5)
+    # of "p6" and "p0" one letter of two agrees, no pair and no word; of their tokens one of two
+    assert got["peers"] == 3 and got["utility"] == pytest.approx(0.55 * 0.5 / 3 + 0.30 * 0.5 + 0.15 * 0.5)
 
 
 def test_votes(spark):
