@@ -19,6 +19,7 @@ from .text import normalize_space
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 CHARS, WORDS = 6, 2
+MOST_SYMBOLS = 1 << 18
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -47,7 +48,17 @@ def _items(a: pd.Series, b: pd.Series) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def shared(sides: list[tuple[np.ndarray, np.ndarray]], orders: int) -> np.ndarray:
-    """(rows, orders, 3): windows of 1 to `orders` symbols on either side and how many they share, with multiplicities."""
+    """(rows, orders, 3): windows of 1 to `orders` symbols on either side and how many they share, with multiplicities.
+    As many rows as hold MOST_SYMBOLS are taken at once, one at least."""
+    ends = sides[0][1] + sides[1][1]
+    cuts = [0]
+    while cuts[-1] < len(ends) - 1:
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, ends[cuts[-1]] + MOST_SYMBOLS, "right")) - 1))
+    parts = [_shared([(codes[of[a] : of[b]], of[a : b + 1] - of[a]) for codes, of in sides], orders) for a, b in zip(cuts, cuts[1:])]
+    return np.concatenate(parts) if parts else np.zeros((0, orders, 3), np.int32)
+
+
+def _shared(sides: list[tuple[np.ndarray, np.ndarray]], orders: int) -> np.ndarray:
     rows = len(sides[0][1]) - 1
     out = np.zeros((rows, orders, 3), np.int32)
     owner = [np.repeat(np.arange(rows), np.diff(of)) for _, of in sides]
