@@ -60,7 +60,8 @@ def source_copy_ratio(hyp: Column, source: Column) -> Column:
     """Share of the hypothesis' tokens, without leakage words, that the source has."""
     stop = T.words_of(*LEAKAGE_WORDS)
     h, s = (F.filter(t, lambda x: ~F.array_contains(stop, x)) for t in (hyp, source))
-    return F.when((F.size(h) > 0) & (F.size(s) > 0), F.size(F.filter(h, lambda x: F.array_contains(s, x))) / F.size(h)).otherwise(0.0)
+    # h has no leakage words, so the whole source can be asked; s would be filtered again for each word
+    return F.when((F.size(h) > 0) & (F.size(s) > 0), F.size(F.filter(h, lambda x: F.array_contains(source, x))) / F.size(h)).otherwise(0.0)
 
 
 def exact_copy(hyp: Column, source: Column) -> Column:
@@ -68,8 +69,8 @@ def exact_copy(hyp: Column, source: Column) -> Column:
 
 
 def repetition_penalty(tokens: Column, n: int = 3) -> Column:
-    grams = T.ngrams(tokens, n)
-    return F.when(F.size(tokens) < 2 * n, 0.0).otherwise(F.least(F.lit(0.2), (F.size(grams) - F.size(F.array_distinct(grams))) / F.greatest(F.size(grams), F.lit(1))))
+    grams, count = T.ngrams(tokens, n), F.size(tokens) - (n - 1)
+    return F.when(F.size(tokens) < 2 * n, 0.0).otherwise(F.least(F.lit(0.2), (count - F.size(F.array_distinct(grams))) / count))
 
 
 def artifact_penalty(text: Column) -> Column:

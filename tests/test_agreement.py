@@ -70,3 +70,16 @@ def test_counts_take_a_bounded_number_of_symbols_at_once(monkeypatch):
     assert (overlap.shared(sides, 4) == inner(sides, 4)).all()
     assert max(seen) <= 100 and len(seen) > 1
     assert overlap.shared([(np.zeros(0, np.uint64), np.zeros(1, np.int64))] * 2, 2).shape == (0, 2, 3)
+
+
+def test_signals_of_a_long_text_take_no_square_of_its_words(spark):
+    """Filtering the source again for each word took minutes here."""
+    import time
+
+    from corpuslab.functions import metrics as M
+
+    df = spark.createDataFrame([(" ".join(f"w{i}" for i in range(2000)), " ".join(f"w{i}" for i in range(1000, 3000)) + " de")], "a string, b string")
+    tokens = df.select(T.metric_tokens(F.col("a")).alias("a"), T.metric_tokens(F.col("b")).alias("b")).cache()
+    began = time.time()
+    got = tokens.select(M.source_copy_ratio(F.col("a"), F.col("b")), M.repetition_penalty(F.concat("a", "a"))).first()
+    assert tuple(got) == (pytest.approx(0.5), pytest.approx(0.2)) and time.time() - began < 20
