@@ -83,3 +83,17 @@ def test_signals_of_a_long_text_take_no_square_of_its_words(spark):
     began = time.time()
     got = tokens.select(M.source_copy_ratio(F.col("a"), F.col("b")), M.repetition_penalty(F.concat("a", "a"))).first()
     assert tuple(got) == (pytest.approx(0.5), pytest.approx(0.2)) and time.time() - began < 20
+
+
+def test_named_features_are_summed_in_their_row(spark):
+    from corpuslab.operators import features as X
+
+    df = spark.createDataFrame([(1, 0, "wasi wasi Runa", "la casa casa", 2.0, 0.0), (1, 1, None, "", None, 0.5)], "g int, candidate_index int, prediction string, source string, m double, z double")
+    found = X.named_features(df, ["g", "candidate_index"], manual=["m", "z"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    got = {(r["candidate_index"], r["name"]): r["value"] for r in found.collect()}
+    assert len(got) == found.count()
+    wanted = {"cand_tok:wasi": 2.0, "pool_cand_tok:unknown:wasi": 1.0, "cand_wng:wasi wasi": 1.0, "cand_wng:wasi": 2.0, "src_tok:casa": 1.0, "src_cand:casa->wasi": 4.0, "cand_cng:was": 0.5, "cand_cng: wasi": 0.5, "pool_origin_first:unknown": 1.0, "manual:m": 2.0}
+    assert {k: got[0, k] for k in wanted} == wanted and (0, "manual:z") not in got
+    assert {k: v for (i, k), v in got.items() if i == 1} == {"pool_origin:unknown": 1.0, "manual:z": 0.5}
