@@ -127,3 +127,21 @@ def test_sparse_pairs_are_ranked():
     rows = [(g, {1: 1.0, 2: float(k)}, float(-k)) for g, k in itertools.product(range(20), range(3))]
     weights = training.pairwise_sparse(rows, 8)
     assert weights[2] < -0.5 and abs(weights[1]) < 1e-9 and not weights[3:].any()
+
+
+def test_edit_distances_keep_their_steps():
+    """Against the recurrence in plain Python: the distance, and keep or change before drop before add."""
+    r = random.Random(5)
+    for _ in range(60):
+        a, b = ([r.choice("abc") for _ in range(r.randint(0, 9))] for _ in range(2))
+        cost = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+        found, steps = edit_rate.distance(a, b)
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                across, drop = cost[i - 1, j - 1] + (a[i - 1] != b[j - 1]), cost[i - 1, j] + 1
+                cost[i, j] = min(across, drop, cost[i, j - 1] + 1)
+                step = (edit_rate.KEEP if a[i - 1] == b[j - 1] else edit_rate.CHANGE) if cost[i, j] == across else edit_rate.DROP if cost[i, j] == drop else edit_rate.ADD
+                assert steps[i, j] == step
+        assert found == cost[len(a), len(b)]
+    many = np.zeros((2, 20_000), np.int64)  # more words than 16 bits count
+    assert edit_rate.distances(many, np.zeros(1, np.int64)).tolist() == [19_999, 19_999]
