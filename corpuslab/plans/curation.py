@@ -119,7 +119,7 @@ def j6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("w9_best_of_text", f"{_MBR} SELECT conv_id, candidate_index FROM scored QUALIFY row_number() OVER (PARTITION BY conv_id, lower({S.norm('prediction')}) ORDER BY mbr_score DESC, candidate_index) = 1")
 def w9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(C.best_of_text(scored(spark, sf_dir), ["conv_id"], "mbr_score"))
+    return _index(C.best_of_text(scored(spark, sf_dir, "prediction"), ["conv_id"], "mbr_score"))
 
 
 @query(
@@ -129,7 +129,7 @@ def w9(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT l.conv_id, w.candidate_index AS chosen_index, l.candidate_index AS rejected_index, round(w.mbr_score - l.mbr_score, 5) AS gap FROM r l JOIN r w ON l.conv_id = w.conv_id AND l.kind = 'l' AND w.kind = 'w' AND l.r < 2 AND w.r = l.r % w.n""",
 )
 def w14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = C.gap_pairs(scored(spark, sf_dir), ["conv_id"], "mbr_score", 0.03, 0.005, 2)
+    g = C.gap_pairs(scored(spark, sf_dir, "prediction"), ["conv_id"], "mbr_score", 0.03, 0.005, 2)
     return g.select("conv_id", F.col("chosen_index").cast("long").alias("chosen_index"), F.col("rejected_index").cast("long").alias("rejected_index"), F.round("gap", 5).alias("gap"))
 
 
