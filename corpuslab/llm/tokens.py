@@ -11,6 +11,7 @@ import os
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,7 @@ from .textbatch import Hasher, blocks
 LETTER, NUMBER, SPACE, OTHER, UNSURE = 1, 2, 3, 4, 5
 _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]  # fixed values: White_Space
 CACHE_MOST = 600_000
+LINES = 256
 
 
 def default_path() -> str:
@@ -87,6 +89,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self._clear()
 
@@ -97,20 +100,35 @@ class Encoder:
         self.size = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _add(self, hashes: list[int], texts: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.array([len(x) for x in found], np.int64)
-        flat = np.concatenate([np.asarray(x, self.kind) for x in found])
+    def _encoded(self, pieces: list[bytes]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)
+        return [np.asarray(e.ids, self.kind) for e in found]
+
+    def _lines(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number of pre-tokens that hold no white space but a space in front. They go to the library LINES at
+        once, a line feed after each: that is a pre-token of its own, so its id tells where one ends."""
+        flat = np.concatenate(self._encoded([b"\n".join(pieces[k : k + LINES]) + b"\n" for k in range(0, len(pieces), LINES)]))
+        ends = np.flatnonzero(flat == self.feed)
+        if len(ends) != len(pieces):
+            raise ValueError("the tokenizer doesn't keep line feeds apart")
+        return np.delete(flat, ends), np.diff(ends, prepend=-1) - 1
+
+    def _add(self, hashes: list[int], pieces: list[bytes], lines: int) -> None:
+        """The first `lines` of the pieces are fit for _lines()."""
+        flat, sizes = self._lines(pieces[:lines]) if lines else (np.zeros(0, self.kind), np.zeros(0, np.int64))
+        if lines < len(pieces):
+            rest = self._encoded(pieces[lines:])
+            flat, sizes = np.concatenate([flat, *rest]), np.append(sizes, [len(x) for x in rest])
         at = len(self.slots)
-        while at + len(found) > len(self.start):
+        while at + len(pieces) > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(flat)] = flat
-        self.size[at : at + len(found)] = sizes
-        self.start[at : at + len(found)] = self.used + np.cumsum(sizes) - sizes
+        self.size[at : at + len(pieces)] = sizes
+        self.start[at : at + len(pieces)] = self.used + np.cumsum(sizes) - sizes
         self.used += len(flat)
-        self.slots.update(zip(hashes, range(at, at + len(found)), strict=True))
+        self.slots.update(zip(hashes, range(at, at + len(pieces)), strict=True))
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a block of whole documents, and the offsets of documents in them."""
@@ -131,13 +149,17 @@ class Encoder:
         first[codes[::-1]] = np.arange(len(codes))[::-1]
         if len(self.slots) + len(unique) > CACHE_MOST:
             self._clear()
-        slots = self.slots
-        new = [i for i, h in enumerate(unique.tolist()) if h not in slots]
-        if new:
+        found = np.fromiter(map(self.slots.get, unique.tolist(), repeat(-1)), np.int64, len(unique))
+        new = np.flatnonzero(found < 0)
+        if len(new):
             raw = data.tobytes()
+            last = kind[np.append(starts[1:], len(cps))[first[new]] - 1]
+            plain = (last != SPACE) & (last != UNSURE)
+            new = np.concatenate((new[plain], new[~plain]))
             at = first[new]
-            self._add(unique[new].tolist(), [raw[a:b].decode("utf-8") for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)])
-        slot = np.fromiter(map(slots.__getitem__, unique.tolist()), np.int64, len(unique))[codes]
+            found[new] = np.arange(len(new)) + len(self.slots)
+            self._add(unique[new].tolist(), [raw[a:b] for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)], int(plain.sum()))
+        slot = found[codes]
         size = self.size[slot]
         total = np.concatenate(([0], np.cumsum(size)))
         ids = self.pool[np.repeat(self.start[slot] - total[:-1], size) + np.arange(total[-1])]
