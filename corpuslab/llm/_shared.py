@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -37,8 +39,12 @@ def durable(df: DataFrame, label: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Ask the driver's collector to run, so that Spark's cleaner deletes the shuffle files of plans that nothing refers to any more."""
-    spark.sparkContext._jvm.System.gc()
+    """Collect Python's garbage (frames in a reference cycle keep their plans) and the driver's, so that Spark's cleaner deletes
+    the shuffle files of plans that nothing refers to any more; twice, since the first cleaning lets go of more."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def width(spark: SparkSession) -> int:
