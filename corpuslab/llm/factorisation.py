@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ._shared import unused
+from ._shared import trimmed, unused
 from .labelled import sample
 from .textbatch import Hasher, blocks, lower_latin, mix
 from .textstats import Structure
@@ -117,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: Column, most: int = 5_000) ->
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), *(pa.array(p, pa.binary()) for p in packed)], ["doc_id", "label", "i", "x", "z"])
 
     texts = sample(docs, labels, "quality", rows, most).select("doc_id", "text", "label")
-    got = texts.mapInArrow(run, "doc_id long, label long, i binary, x binary, z binary").toPandas().sort_values(["doc_id", "label"], kind="stable")
+    got = texts.mapInArrow(trimmed(run), "doc_id long, label long, i binary, x binary, z binary").toPandas().sort_values(["doc_id", "label"], kind="stable")
     index = [np.frombuffer(b, "<u2").astype(np.int64) for b in got["i"]]
     empty = [np.zeros(0)]
     return train(
@@ -141,7 +141,7 @@ def _scored(docs: DataFrame, machine: Machine, name: str, keep_text: bool) -> Da
                 score = pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:kept]), score], [*batch.schema.names[:kept], name])
 
-    return ordered.mapInArrow(run, StructType([*ordered.schema.fields[:kept], StructField(name, DoubleType())]))
+    return ordered.mapInArrow(trimmed(run), StructType([*ordered.schema.fields[:kept], StructField(name, DoubleType())]))
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import durable, lookup, width
+from ._shared import durable, lookup, trimmed, width
 from .components import connected_components
 from .simhash import links, majority, shingles_of
 from .textbatch import blocks, mix
@@ -84,7 +84,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 )
 
     schema = "doc_id long, a long, b long, n long, fp long, " + ", ".join(f"{s} long" for s in SKETCH) + ", bands array<long>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(run), schema)
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def similar(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
                 u, v = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return rows.mapInArrow(run, "u long, v long").distinct()
+    return rows.mapInArrow(trimmed(run), "u long, v long").distinct()
 
 
 def _across(rows: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def _across(rows: DataFrame) -> DataFrame:
 
     columns = ["band", "key", "part", "node", "component", "n", *SKETCH]
     spread = rows.select(columns).repartition(width(rows.sparkSession), "band", "key", "part").sortWithinPartitions("band", "key", "part")
-    return spread.mapInArrow(run, "u long, v long").distinct()
+    return spread.mapInArrow(trimmed(run), "u long, v long").distinct()
 
 
 def components(docs: DataFrame, shingle: int = 5) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bucket_of, durable, range_bounds, width
+from ._shared import bucket_of, durable, range_bounds, trimmed, width
 from .textbatch import mix
 from .tokens import binaries, encoded, unpack
 
@@ -77,7 +77,7 @@ def projected_tokens(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "width", "ids", *_PROJECTED])
 
     schema = "doc_id long, n_tokens long, width int, ids binary, " + ", ".join(f"{p} double" for p in _PROJECTED)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(run), schema)
 
 
 def curve_key(tokens: DataFrame) -> Column:
@@ -162,4 +162,4 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0) ->
 
     rows = tokens.withColumn("place", place).withColumn("bucket", bucket_of(F.col("place"), bounds))
     ordered = rows.select("bucket", "doc_id", "width", "ids", "place").repartition(width(spark), "bucket").sortWithinPartitions("bucket", "place", "doc_id", "ids")
-    return ordered.drop("place").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ordered.drop("place").mapInArrow(trimmed(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

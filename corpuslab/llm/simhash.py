@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import durable, lookup, width
+from ._shared import durable, lookup, trimmed, width
 from .components import connected_components
 from .textbatch import blocks, lower_ascii, mix, words
 from .xxh import xxh64
@@ -98,7 +98,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (42
                 found = fingerprints_of(data, offsets, shingle, seeds)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(f.view(np.int64)) for f in found)], ["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(run), "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def embedding(fp: np.ndarray) -> np.ndarray:
@@ -183,7 +183,7 @@ def links(classes: DataFrame, distance: int = 3) -> DataFrame:
             for k, mask in enumerate(masks):
                 yield pa.RecordBatch.from_arrays([pa.array((seed + k).astype(np.int32)), pa.array(mix(mix(e & mask) ^ (fp & mask)).view(np.int64)), batch.column(0), batch.column(1)], ["choice", "cell", "fp", "node"])
 
-    rows = classes.select("fp", "node", "seed").mapInArrow(cells, "choice int, cell long, fp long, node long")
+    rows = classes.select("fp", "node", "seed").mapInArrow(trimmed(cells), "choice int, cell long, fp long, node long")
     counts = rows.groupBy("choice", "cell").count().filter(F.col("count") > 1)
     rows = rows.join(counts, ["choice", "cell"])
     parts = F.ceil(F.col("count") * 2 / F.lit(CELL_MOST)).cast("int")
@@ -210,7 +210,7 @@ def links(classes: DataFrame, distance: int = 3) -> DataFrame:
             yield _edges(pa.Table.from_batches(kept), distance)
 
     spread = rows.repartition(width(classes.sparkSession), "choice", "cell", "part").sortWithinPartitions("choice", "cell", "part", "fp")
-    return spread.mapInArrow(join, "u long, v long")
+    return spread.mapInArrow(trimmed(join), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (42,), distance: int = 3) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import durable, fresh_path, lookup, unused, width
+from ._shared import durable, fresh_path, lookup, trimmed, unused, width
 from .bwt import MOST, first_windows
 from .textbatch import Hasher, blocks, mix
 
@@ -114,7 +114,7 @@ def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
                     ["anchor", "doc", "twin", "first", "n", "known"],
                 )
 
-    return texts.select("doc", "twin", "text").mapInArrow(run, "anchor long, doc long, twin int, first int, n int, known boolean")
+    return texts.select("doc", "twin", "text").mapInArrow(trimmed(run), "anchor long, doc long, twin int, first int, n int, known boolean")
 
 
 def _recurring(rows: DataFrame, most: int = HOT) -> DataFrame:
@@ -170,7 +170,7 @@ def _recurring(rows: DataFrame, most: int = HOT) -> DataFrame:
         if held and held_rows > 1 and not hot:
             yield from out(held, False)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)
 
 
 def _pieces(texts: DataFrame, length: int) -> DataFrame:
@@ -226,7 +226,7 @@ def _pieces(texts: DataFrame, length: int) -> DataFrame:
         kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["anchor", "piece", "doc", "twin", "first", "n"])
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(trimmed(run), schema)
 
 
 def whole_anchors(batches: Iterator[pa.RecordBatch], full: int = BATCH, most: int = MOST - 1) -> Iterator[pa.Table]:
@@ -314,7 +314,7 @@ def _standing_earlier(pieces: DataFrame, length: int) -> DataFrame:
         for table in whole_anchors(batches):
             yield judge(table)
 
-    return pieces.mapInArrow(run, "doc long, twin int, start long, stop long")
+    return pieces.mapInArrow(trimmed(run), "doc long, twin int, start long, stop long")
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -400,7 +400,7 @@ def remove_repeated(docs: DataFrame, length: int = 100, gram: int = GRAM, hot: i
             yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), batch.column(4)], [*_OUT, "rows"])
 
     found = stored.join(spans, "doc", "left").select("doc", "twin", "digest", "is_first", "rows", "text", "spans")
-    found = found.mapInArrow(run, "doc long, digest string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, rows long")
+    found = found.mapInArrow(trimmed(run), "doc long, digest string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, rows long")
     found = found.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("rows").cast("int"))))
     return found.select(F.nullif("doc", F.lit(LEAST)).alias("doc_id"), *_OUT[1:])
 

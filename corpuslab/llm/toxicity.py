@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._shared import unused
+from ._shared import trimmed, unused
 from .labelled import sample
 from .textbatch import Hasher, blocks, lower_latin, runs
 
@@ -157,7 +157,7 @@ def _counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, float
             no = np.bincount(place[~t], minlength=len(keys))
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(yes), pa.array(no)], ["h", "yes", "no"])
 
-    found = texts.select("text", "label").mapInArrow(run, "h long, yes long, no long").groupBy("h").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    found = texts.select("text", "label").mapInArrow(trimmed(run), "h long, yes long, no long").groupBy("h").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     totals = found.agg(F.sum("yes"), F.sum("no")).first()
     n_yes, n_no = float(totals[0] or 0), float(totals[1] or 0)
     likely = found.filter((F.col("yes") >= 3) & (F.col("yes") * F.lit(max(n_no, 1.0)) > 3 * F.col("no") * F.lit(max(n_yes, 1.0))))
@@ -262,7 +262,7 @@ def _excesses(docs: DataFrame, model: Model, keep_text: bool = False, with_all:
             yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(excess), pa.array(best), pa.array(spans, kind)], [*batch.schema.names[:kept], *names])
 
     more = StructType.fromDDL(f"{names[0]} double, {names[1]} double, {names[2]} array<struct<start:long,stop:long,excess:double>>")
-    return ordered.mapInArrow(run, StructType([*ordered.schema.fields[:kept], *more.fields]))
+    return ordered.mapInArrow(trimmed(run), StructType([*ordered.schema.fields[:kept], *more.fields]))
 
 
 def _added(docs: DataFrame) -> list[str]:
