@@ -1,9 +1,10 @@
 """Which windows of a text occur twice, by breadth-first backward extension on its Burrows-Wheeler transform.
 
 The suffixes are sorted by their first `length` symbols only. The transform's backward steps then give the borders
-between unequal suffixes by increasing common prefix: a border of common prefix l between ranks, extended by a symbol,
-is a border of common prefix l + 1. Borders found at one level are the next level's frontier; the search stops before
-`length`. Suffixes without a border between them share at least that many symbols.
+between unequal suffixes for growing common prefixes, all intervals at once: two neighbours in a symbol's interval differ
+in d + e symbols if they differ in d, or if a border of e symbols lies between the ranks that d backward steps lead from.
+Steps of d symbols are steps of half as many taken twice, so the extension doubles until it has `length` symbols.
+Suffixes without a border between them share at least that many.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ import numpy as np
 
 INDEX_BITS = 21
 MOST = (1 << INDEX_BITS) - 1
-_WALK = 48
 
 
 def sort_suffixes(text: np.ndarray, length: int) -> np.ndarray:
@@ -21,30 +21,34 @@ def sort_suffixes(text: np.ndarray, length: int) -> np.ndarray:
     Ranks of prefixes double in length; a rank pair and the position fit one word, so each round is a plain sort.
     """
     n = len(text)
+    bits = np.uint64(INDEX_BITS)
     index = np.arange(n, dtype=np.uint64)
     low = np.uint64(MOST)
 
-    def ranks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        packed = np.sort((key << np.uint64(INDEX_BITS)) | index)
-        order = (packed & low).astype(np.int64)
-        new = np.empty(n, bool)
-        new[0] = False
-        np.not_equal(packed[1:] >> np.uint64(INDEX_BITS), packed[:-1] >> np.uint64(INDEX_BITS), out=new[1:])
-        out = np.empty(n, np.uint64)
-        out[order] = np.cumsum(new).astype(np.uint64)
-        return out, order
+    def ordered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions in the order of their keys, the keys in that order); key is overwritten."""
+        key <<= bits
+        key |= index
+        key.sort()
+        order = (key & low).astype(np.int32)
+        key >>= bits
+        return order, key
 
     key = np.zeros(n, np.uint64)
     have = min(4, length)
     for k in range(have):
         key <<= np.uint64(9)
-        key[: n - k] |= text[k:].astype(np.uint64)
-    rank, order = ranks(key)
+        key[: n - k] |= text[k:]
+    order, key = ordered(key)
     while have < length:
+        rank = np.empty(n, np.uint64)
+        new = np.zeros(n, np.uint32)
+        np.not_equal(key[1:], key[:-1], out=new[1:], casting="unsafe")
+        rank[order] = np.cumsum(new, dtype=np.uint32)
         step = min(have, length - have)
-        key = rank << np.uint64(INDEX_BITS)
-        key[: n - step] |= rank[step:] + np.uint64(0)
-        rank, order = ranks(key)
+        np.left_shift(rank, bits, out=key)
+        key[: n - step] |= rank[step:]
+        order, key = ordered(key)
         have += step
     return order
 
@@ -53,46 +57,26 @@ def borders(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """For each rank whether its suffix shares fewer than `length` symbols with the one before."""
     n = len(text)
     last = text[order - 1]  # the symbol before each suffix; the end symbol stands before the first
-    by_symbol = np.argsort(last, kind="stable")
-    forward = np.empty(n, np.int64)  # the rank of the suffix that is one symbol longer
-    forward[by_symbol] = np.arange(n)
-    symbol = last[by_symbol]
-    before = np.full(n, -1, np.int64)  # the last rank above with the same symbol before it
-    same = symbol[1:] == symbol[:-1]
-    before[by_symbol[1:][same]] = by_symbol[:-1][same]
-    first_of = np.flatnonzero(np.append(True, ~same))
-    level = np.full(n + 1, length, np.int32)  # common prefix with the rank above, where it is known to be shorter
-    level[first_of] = 0
-    level[[0, n]] = 0
-    located = symbol.astype(np.int64) * (n + 1) + by_symbol
-    symbols = symbol[first_of].astype(np.int64)
-    ends = np.append(first_of[1:], n)
-    frontier = first_of
-    for depth in range(1, length):
-        found = []
-        at, since = frontier[frontier < n], frontier[frontier < n]
-        for _ in range(_WALK):
-            if not len(at):
-                break
-            to = forward[at]
-            to = to[(before[at] < since) & (level[to] == length)]
-            level[to] = depth
-            found.append(to)
-            at = at + 1
-            inside = level[at] >= depth
-            at, since = at[inside], since[inside]
-        if len(at):  # wide intervals: ask for each symbol instead of each rank
-            for k in range(0, len(since), 4096):
-                part = since[k : k + 4096]
-                to = np.searchsorted(located, (symbols[:, None] * (n + 1) + part[None, :]).ravel()).reshape(len(symbols), -1)
-                to = np.unique(to[(to > first_of[:, None]) & (to < ends[:, None])])
-                to = to[level[to] == length]
-                level[to] = depth
-                found.append(to)
-        frontier = np.concatenate(found) if found else np.zeros(0, np.int64)
-        if not len(frontier):
-            break
-    return level[:n] < length
+    back = np.argsort(last, kind="stable").astype(np.int32)  # by rank of a suffix, the rank without its first symbol
+    symbol = last[back]
+    differ = np.ones(n, bool)  # from the rank above, in one symbol
+    np.not_equal(symbol[1:], symbol[:-1], out=differ[1:])
+
+    def extended(differ: np.ndarray, back: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+        """differ, whose suffixes `back` leads from, with the borders that those of `shorter` give."""
+        group = np.cumsum(shorter, dtype=np.int32)[back]
+        out = differ.copy()
+        out[1:] |= group[1:] != group[:-1]
+        return out
+
+    have, done, rest = 1, None, length
+    while True:  # length as a sum of powers of two
+        if rest & have:
+            done = differ if done is None else extended(differ, back, done)
+            rest -= have
+            if not rest:
+                return done
+        differ, back, have = extended(differ, back, differ), back[back], 2 * have
 
 
 def first_windows(pieces: list[bytes], counts: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:

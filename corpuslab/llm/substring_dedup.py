@@ -41,45 +41,56 @@ POSITION_BITS = 31  # the same for every block: which of two grams is the least
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """A hash of the `gram` bytes from each byte on; beyond the end bytes count as 0."""
-    h = data.astype(_U) + _U(1)
-    have, base = 1, 0x9E3779B97F4A7C15
-    powers = 1
-    while have < gram:
-        step = min(have, gram - have)
-        factor = _U(pow(base, have, 1 << 64))
-        if step == have:
-            later = np.concatenate([h[step:], np.zeros(step, _U)])[: len(h)]
-            h = h + later * factor
-        else:  # a shorter hash of the rest
-            rest = gram_hashes(data, step)
-            h = h + np.concatenate([rest[have:], np.zeros(have, _U)])[: len(h)] * factor
-        have += step
-        powers += 1
-    return h
+    base = 0x9E3779B97F4A7C15
+
+    def joined(h: np.ndarray, have: int, later: np.ndarray) -> np.ndarray:
+        """Hashes of the `have` bytes of h and those of later behind them."""
+        shifted = later[have:] * _U(pow(base, have, 1 << 64))
+        out = h.copy()
+        out[: len(shifted)] += shifted
+        return out
+
+    part = data.astype(_U)
+    part += _U(1)
+    have, total, out = 1, 0, part
+    while True:  # gram as a sum of powers of two
+        if gram & have:
+            out = joined(out, total, part) if total else part
+            total += have
+            if total == gram:
+                return out
+        part, have = joined(part, have, part), 2 * have
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, first string, number of strings, anchor hash) of the runs of strings that own one anchor."""
     empty = np.zeros(0, np.int64)
-    n_strings = np.maximum(np.diff(offsets) - length + 1, 0)
-    if not n_strings.sum():
+    size = np.diff(offsets)
+    if not (size >= length).any():
         return empty, empty, empty, np.zeros(0, _U)
     h = mix(gram_hashes(data, gram))
     grams = length - gram + 1  # in a string
     # the least (hash, position) of each window, by windows of doubling size; the position breaks ties
     low = _U((1 << POSITION_BITS) - 1)
-    least = (h & ~low) | np.arange(len(h), dtype=_U)
+    least = h & ~low
+    least |= np.arange(len(h), dtype=_U)
     have = 1
     while have < grams:
         step = min(have, grams - have)
         least[: len(least) - step] = np.minimum(least[: len(least) - step], least[step:])
         have += step
-    doc = np.repeat(np.arange(len(n_strings)), n_strings)
-    at = offsets[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(n_strings) - n_strings, n_strings)
-    anchor = (least[at] & low).astype(np.int64)
-    new = np.flatnonzero(np.append(True, (np.diff(anchor) != 0) | (np.diff(doc) != 0)))
-    count = np.diff(np.append(new, len(doc)))
-    return doc[new], at[new] - offsets[doc[new]], count, h[anchor[new]]
+    mark = np.zeros(len(h) + 1, np.int8)  # no string starts at a document's last length - 1 bytes
+    some = size > 0
+    mark[np.maximum(offsets[1:] - length + 1, offsets[:-1])[some]] += 1
+    mark[offsets[1:][some]] -= 1
+    string = np.cumsum(mark[:-1], dtype=np.int8) == 0
+    new = np.ones(len(h) + 1, bool)
+    np.not_equal(least[1:], least[:-1], out=new[1:-1])
+    new[offsets[:-1][some]] = True
+    new[1:-1] |= string[1:] != string[:-1]
+    starts, stops = np.flatnonzero(new[:-1] & string), np.flatnonzero(new[1:] & string) + 1
+    doc = np.searchsorted(offsets, starts, "right") - 1
+    return doc, starts - offsets[doc], stops - starts, h[(least[starts] & low).astype(np.int64)]
 
 
 def _again_in_block(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
